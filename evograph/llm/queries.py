@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import syntax
+from . import docs, syntax
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_pairs(spark, d).select("id")
+
+
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return docs.documented_functions(table(spark, d, "nodes"), table(spark, d, "source_files"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
