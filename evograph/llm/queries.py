@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import docs, syntax
+from . import docs, handwritten, syntax
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,6 +19,17 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return docs.documented_functions(table(spark, d, "nodes"), table(spark, d, "source_files"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, d, "source_files")).select("file_id")
+
+
+def p2_files(spark: SparkSession, d: str) -> DataFrame:
+    """With the line count and complexity that the scan recorded for the file."""
+    nodes = table(spark, d, "nodes").where("node_type = 'file'")
+    scanned = nodes.groupBy("file_path").agg(F.max("line_count").alias("line_count"), F.max("complexity").alias("complexity"))
+    return handwritten.not_handwritten(table(spark, d, "source_files")).join(scanned, "file_path", "left")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return syntax.syntax_errors(table(spark, d, "source_files")).select("file_id").distinct()
 
