@@ -43,7 +43,7 @@ DECOYS = {
     "banner in a string": ("r/src/x.ts", HAND + "export const banner = ['// Code generated by the tag writer. DO NOT ' + 'EDIT.', ''].join('\\n');\n"),
     "long pattern": ("r/src/x.ts", HAND * 2 + "export const p = /^(?:" + "|".join(f"word{i}" for i in range(70)) + ")$/i;\n"),
     "small table": ("r/src/x.ts", HAND + "const T = [\n" + "  ['queue', 41],\n" * 9 + "];\n"),
-    "templates": ("r/src/x.ts", "const a = `x`;\n" + HAND * 4 + "const b = `y`;\n"),
+    "templates": ("r/src/x.ts", "const a = `x`;\n" + HAND * 2 + "const b = `y`;\n"),
     "empty": ("r/src/x.ts", ""), "null": ("r/src/x.ts", None), "no path": (None, HAND), "blank": ("r/src/x.ts", " \n"),
     "stylesheet": ("r/src/x.js", "".join(f".a{i} {{\n  margin: {i}px auto;\n  color: #353;\n}}\n\n" for i in range(11))),
 }
