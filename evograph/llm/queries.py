@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-from . import docs, handwritten, syntax
+from ..session import cut, table
+from . import docs, handwritten, names, syntax
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,6 +30,14 @@ def p2_files(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.not_handwritten(table(spark, d, "source_files")).join(scanned, "file_path", "left")
 
 
+def p3_entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.entity_classes(names.expert_entities(table(spark, d, "experts"), table(spark, d, "commits"), table(spark, d, "nodes")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.entity_pairs(cut(names.expert_entities(table(spark, d, "experts"), table(spark, d, "commits"), table(spark, d, "nodes"))))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return syntax.syntax_errors(table(spark, d, "source_files")).select("file_id").distinct()
 
