@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import docs, handwritten, names, syntax
+from . import docs, handwritten, leaks, names, syntax
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -50,6 +50,19 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.syntax_rates(table(spark, d, "source_files"))
 
 
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which items leaked, how widely and at most how much."""
+    return p7_leaks(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("held").alias("most_words"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
