@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import docs, handwritten, leaks, names, syntax
+from . import docs, handwritten, leaks, names, quality, syntax
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -63,6 +63,14 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("held").alias("most_words"))
 
 
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.classify(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_statistics(spark, d).where("not_prose").select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
