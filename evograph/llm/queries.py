@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import docs, handwritten, leaks, names, quality, syntax
+from . import docs, handwritten, leaks, names, quality, syntax, vectors
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,6 +38,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return names.entity_pairs(cut(names.expert_entities(table(spark, d, "experts"), table(spark, d, "commits"), table(spark, d, "nodes"))))
 
 
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.neighbours(table(spark, d, "chunks"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.similar_pairs(p4_neighbours(spark, d), 0.85)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return syntax.syntax_errors(table(spark, d, "source_files")).select("file_id").distinct()
 
