@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import docs, handwritten, leaks, names, quality, syntax, vectors
+from . import docs, handwritten, leaks, names, packing, quality, syntax, vectors
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -58,6 +58,14 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.syntax_rates(table(spark, d, "source_files"))
 
 
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"))
+
+
+def p6_summary(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_summary(p6_containers(spark, d))
+
+
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
