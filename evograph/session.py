@@ -61,3 +61,19 @@ BROADCAST_ROWS = 200_000
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast for a side whose counted rows keep to the bound; else leave the choice to the planner."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def number_rows(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """Number rows from 0 in an order, without a window over the whole table in one task.
+
+    The rows are sorted by ranges and kept (a checkpoint); the sizes of the ranges, one row per partition, give
+    each range its first number.
+    """
+    kept = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
+    sizes = {r["_part"]: (r["first"], r["n"]) for r in kept.groupBy("_part").agg(F.min("_row").alias("first"), F.count("*").alias("n")).collect()}
+    start, rows = 0, []
+    for part in sorted(sizes):
+        rows.append((part, start - sizes[part][0]))
+        start += sizes[part][1]
+    offsets = df.sparkSession.createDataFrame(rows, "_part int, _shift bigint")  # one row per partition
+    return kept.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_row") + F.col("_shift")).drop("_part", "_row", "_shift")
