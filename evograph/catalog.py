@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of evograph.operators, in the order of the survey; each has QUERIES and SQL.
-MODULES: tuple[str, ...] = ("complexity", "graph", "history", "coupling", "trends")
+MODULES: tuple[str, ...] = ("complexity", "graph", "history", "coupling", "trends", "search", "ingest", "watching")
 
 
 def queries() -> dict[str, Query]:
