@@ -49,7 +49,7 @@ QUERIES = {"z2_debounced": _q(debounced), "z3_deltas": _q(streamed_deltas), "z4_
 SQL = {
     "z2_debounced": """WITH e AS (SELECT user_id AS key, epoch_us(ts) AS us, event_id, event_type FROM events), g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY key ORDER BY us, event_id) < 21600000000 THEN 0 ELSE 1 END AS new FROM e),
         s AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY us, event_id) AS burst FROM g) SELECT key, min(us) AS start_us, arg_max(event_id, (us, event_id)) AS event_id, arg_max(event_type, (us, event_id)) AS event_type, count(*) AS events FROM s GROUP BY key, burst""",
-    "z3_deltas": """SELECT user_id AS key, event_id, CASE WHEN p IS NULL THEN 'added' ELSE 'modified' END AS kind, floor((value - coalesce(p, 0)) * 10000 + 0.5) / 10000 AS delta FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL)""",
+    "z3_deltas": """SELECT user_id AS key, event_id, CASE WHEN p IS NULL THEN 'added' ELSE 'modified' END AS kind, floor((value - coalesce(p, 0)) * 10000 + 0.5) / 10000 AS delta FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL)""",
     "z4_totals": "SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS keys, round(sum(value), 2) AS value FROM events GROUP BY 1",
     "z5_day_streaks": """WITH d AS (SELECT DISTINCT user_id AS key, epoch_us(ts) // 86400000000 AS day FROM events WHERE user_id IS NOT NULL), i AS (SELECT key, day - row_number() OVER (PARTITION BY key ORDER BY day) AS island, day FROM d), j AS (SELECT key, island, count(*) AS k, max(day) AS last FROM i GROUP BY 1, 2)
         SELECT key, max(last) AS last_day, arg_max(k, last) AS current, max(k) AS longest, sum(k)::BIGINT AS days FROM j GROUP BY 1""",

@@ -19,6 +19,11 @@ from .session import table
 AS_OF_US = 1_751_328_000_000_000
 DAY_US = 86_400_000_000
 
+NODE_COLUMNS = (
+    "id node_type name file_path line_start line_end exported complexity modification_count last_modified contributors documentation language line_count import_count export_count parameters return_type"
+    " is_async is_generator is_abstract extends_name implements_names member_count ord"
+).split()
+
 SOURCE = r"\.(?:ts|tsx|js|jsx)$"
 
 
@@ -35,8 +40,10 @@ class Relations:
     def nodes(self) -> DataFrame:
         """One row per id, with modified_us instead of the timestamp."""
         w = Window.partitionBy("id").orderBy(F.col("ord").desc_nulls_last(), F.col("ingested_at").desc_nulls_last())
-        latest = self.raw("nodes").withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-        return latest.withColumn("modified_us", F.unix_micros("last_modified")).drop("_rn", "ingested_at", "last_modified")
+        columns = [c for c in NODE_COLUMNS if c != "last_modified"]
+        known = self.raw("nodes").select(*NODE_COLUMNS, "ingested_at")  # whatever else the table holds can't clash
+        latest = known.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+        return latest.select(*columns, F.unix_micros("last_modified").alias("modified_us"))
 
     @cached_property
     def files(self) -> DataFrame:

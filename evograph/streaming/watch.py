@@ -38,6 +38,7 @@ def debounce(events: DataFrame, gap: str = "6 hours", delay: str = "1 day") -> D
 
 def deltas(events: DataFrame) -> DataFrame:
     """Z3: change of each event's value against the key's last one; the first of a key is added, all others modified.
+    Events without key, time, id or value are left out.
 
     The state of a key is its last value; it is kept as long as the stream runs.
     """
@@ -51,7 +52,7 @@ def deltas(events: DataFrame) -> DataFrame:
         state.update((float(last),))
         yield pd.DataFrame(rows, columns=["key", "event_id", "kind", "delta"])
 
-    return events.where("key IS NOT NULL AND value IS NOT NULL").groupBy("key").applyInPandasWithState(
+    return events.where("key IS NOT NULL AND value IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL").groupBy("key").applyInPandasWithState(
         f, "key bigint, event_id bigint, kind string, delta double", "last double", "append", GroupStateTimeout.NoTimeout
     )
 
