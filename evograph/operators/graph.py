@@ -434,7 +434,7 @@ QUERIES = {
     "g1_nodes": lambda s, d: Relations(s, d).nodes.select("id", "node_type", F.col("ord").alias("ord"), F.coalesce("modification_count", F.lit(-1)).cast("bigint").alias("modification_count")),
     "g2_contains_edges": _q(contains_edges), "g3_import_edges": _q(import_edges), "g4_dependency_map": _q(dependency_map), "g5_import_counts": _q(import_counts), "g6_enriched_files": _q(enriched_files),
     "g7_languages": _q(language_histogram), "g8_graph_stats": _q(graph_stats), "g10_scan_errors": _q(scan_errors), "j1_resolved_imports": _q(resolved_imports), "t7_degrees": _q(degrees),
-    "g9_incremental": lambda s, d: update_incremental(Relations(s, d).nodes.select("id", "ord", "modification_count"), s.read.parquet(f"{d}/nodes.parquet").select("id", "ord", "modification_count")).select("id", F.coalesce("modification_count", F.lit(-1)).cast("bigint").alias("modification_count")),
+    "g9_incremental": lambda s, d: update_incremental(Relations(s, d).nodes.select("id", "ord", "modification_count"), Relations(s, d).raw("nodes").select("id", "ord", "modification_count")).select("id", F.coalesce("modification_count", F.lit(-1)).cast("bigint").alias("modification_count")),
     "t2_direct_dependents": _q(direct_dependents), "t3_indirect_dependents": _q(indirect_dependents), "t8_coupling_scores": _q(coupling_scores), "p5_relationships": _q(relationships), "p27_mutual_imports": _q(mutual_imports),
     "j3_dead_by_name": _q(dead_by_name), "j4_dead_by_target": _q(dead_by_target), "a21_dead_by_symbol": _q(dead_by_symbol), "t1_call_chain": _q(chain_from_hub), "t5_bounded_cycles": _q(bounded_cycles), "t6_back_edges": _q(back_edges),
     "p9_zones": _q(zones), "p10_standup_risk": _q(standup_risk), "p14_edit_warnings": _q(edit_warnings), "a25_drift": _q(drift), "a25_drift_score": _q(drift_score), "a22_architecture": _q(architecture), "p25_diagram": _q(diagram),

@@ -2,15 +2,44 @@
 
 from __future__ import annotations
 
+import os
+import site
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, unless their search path has it already.
+
+    Functions that run in Python workers are pickled by reference, so workers must be able to import the package;
+    where it isn't installed and no search path leads to it, it travels as an archive with the application.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_evograph_shipped", False):
+        return
+    sc._evograph_shipped = True
+    here = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(here)
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p] + [os.path.abspath(p) for p in site.getsitepackages()]
+    if root in known:
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="evograph-"), "evograph.zip")  # on the driver, which serves it
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(here):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.relpath(path, root))
+    sc.addPyFile(archive)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table of a data directory (one Parquet file or directory per table)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
