@@ -422,18 +422,25 @@ def releases(r: Relations) -> DataFrame:
     return t.withColumn("previous_us", F.lag("at_us", 1, -1).over(Window.partitionBy("repo").orderBy("at_us", "tag")))
 
 
-def lead_times(r: Relations) -> DataFrame:
+def lead_times(r: Relations, bucket_days: int = 30) -> DataFrame:
     """Commits between a tag and the one before (at the first tag: all before it), and their mean hours until the tag.
 
-    Tags and commits of a repository are put in one order of time; every commit takes the next tag from a window
-    over days, so that no range join multiplies them.
+    No range join multiplies rows, and no window holds a whole repository: tags and commits are put in one order
+    within buckets of time, and what follows the last tag of its bucket takes the first tag of the next bucket
+    that has one.
     """
     t = releases(r).select("repo", "tag", F.col("at_us").alias("tag_us"))
-    c = r.commits.select("repo", "at_us")
-    both = c.select("repo", "at_us", F.lit(None).cast("string").alias("tag"), F.lit(0).alias("is_tag")).unionByName(t.select("repo", F.col("tag_us").alias("at_us"), "tag", F.lit(1).alias("is_tag")))
-    w = Window.partitionBy("repo").orderBy("at_us", "is_tag", "tag").rowsBetween(0, Window.unboundedFollowing)
-    nxt = both.withColumn("next", F.first(F.when(F.col("is_tag") == 1, F.struct("tag", "at_us")), ignorenulls=True).over(w)).where("is_tag = 0 AND next IS NOT NULL")
-    return nxt.groupBy("repo", F.col("next.tag").alias("tag")).agg(n().alias("commits"), r2(F.avg((F.col("next.at_us") - F.col("at_us")) / 3_600_000_000), 2).alias("hours"))
+    bucket = F.floor(F.col("at_us") / (bucket_days * DAY_US)).alias("bucket")
+    c = r.commits.select("repo", "at_us", F.lit(None).cast("string").alias("tag"), F.lit(0).alias("is_tag"))
+    both = c.unionByName(t.select("repo", F.col("tag_us").alias("at_us"), "tag", F.lit(1).alias("is_tag"))).select("*", bucket)
+    # a running frame from the latest to the earliest: the last tag met is the next one
+    back = Window.partitionBy("repo", "bucket").orderBy(F.desc("at_us"), F.desc("is_tag"), F.desc("tag"))
+    inside = both.withColumn("next", F.last(F.when(F.col("is_tag") == 1, F.struct("tag", "at_us")), ignorenulls=True).over(back)).where("is_tag = 0")
+    firsts = both.groupBy("repo", "bucket").agg(F.min(F.when(F.col("is_tag") == 1, F.struct("at_us", "tag"))).alias("first"))
+    later = Window.partitionBy("repo").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)  # over buckets
+    firsts = firsts.withColumn("after", F.last("first", ignorenulls=True).over(later)).select("repo", "bucket", "after")
+    nxt = inside.join(firsts, ["repo", "bucket"]).select("repo", "at_us", F.coalesce("next.tag", "after.tag").alias("tag"), F.coalesce("next.at_us", "after.at_us").alias("tag_us")).where("tag IS NOT NULL")
+    return nxt.groupBy("repo", "tag").agg(n().alias("commits"), r2(F.avg((F.col("tag_us") - F.col("at_us")) / 3_600_000_000), 2).alias("hours"))
 
 
 def delivery(r: Relations, weeks: int = 52) -> DataFrame:

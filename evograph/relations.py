@@ -36,22 +36,27 @@ class Relations:
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.path, name)
 
-    @cached_property
-    def nodes(self) -> DataFrame:
-        """One row per id, with modified_us instead of the timestamp."""
+    def _latest(self, where: str | None = None) -> DataFrame:
         w = Window.partitionBy("id").orderBy(F.col("ord").desc_nulls_last(), F.col("ingested_at").desc_nulls_last())
         columns = [c for c in NODE_COLUMNS if c != "last_modified"]
         known = self.raw("nodes").select(*NODE_COLUMNS, "ingested_at")  # whatever else the table holds can't clash
-        latest = known.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-        return latest.select(*columns, F.unix_micros("last_modified").alias("modified_us"))
+        if where:
+            known = known.where(where)
+        return known.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(*columns, F.unix_micros("last_modified").alias("modified_us"))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        """One row per id, with modified_us instead of the timestamp."""
+        return self._latest()
 
     @cached_property
     def files(self) -> DataFrame:
-        return self.nodes.where("node_type = 'file'")
+        """The file nodes. A re-scan doesn't change an id's type, so the filter goes before the window and into the scan."""
+        return self._latest("node_type = 'file'")
 
     @cached_property
     def symbols(self) -> DataFrame:
-        return self.nodes.where("node_type <> 'file'")
+        return self._latest("node_type <> 'file'")
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -82,8 +87,12 @@ class Relations:
 
     @cached_property
     def commit_files(self) -> DataFrame:
-        """(hash, file_path, added, removed); missing counts (binary files) are 0."""
-        return self.raw("commit_files").groupBy("hash", "file_path").agg(F.coalesce(F.max("added"), F.lit(0)).alias("added"), F.coalesce(F.max("removed"), F.lit(0)).alias("removed"))
+        """(hash, file_path, added, removed); missing counts (binary files) are 0.
+
+        Laid out by hash, so that the join with the commits needs no second shuffle of the largest table; rows
+        are rarely repeated, so combining them before this shuffle would save nothing.
+        """
+        return self.raw("commit_files").select("hash", "file_path", "added", "removed").repartition("hash").groupBy("hash", "file_path").agg(F.coalesce(F.max("added"), F.lit(0)).alias("added"), F.coalesce(F.max("removed"), F.lit(0)).alias("removed"))
 
     @cached_property
     def changes(self) -> DataFrame:
