@@ -56,7 +56,9 @@ class Parser:
     def __init__(self, text: str, ts: bool, jsx: bool):
         self.s, self.ts, self.jsx = text, ts, jsx
         self.p = 0
-        self.k, self.v, self.st, self.nl, self.end = "eof", "", 0, False, 0
+        self.k, self.v, self.st, self.nl = "eof", "", 0, False
+        self.memo: dict[int, tuple] = {}  # tokens by the offset from which they were read
+        self.added: list[tuple[set, str]] = []  # names in order of declaration, to take them back
         self.fn = self.is_async = self.gen = False
         self.loop = self.brk = 0
         self.labels: list[str] = []
@@ -68,6 +70,7 @@ class Parser:
         self.scopes: list[tuple[set, set, bool]] = []  # lexical names, var names, whether a function's
         self.exports: set[str] = set()
         self.no_cond_arrow = 0
+        self.no_extends = False
         self.ctor = self.method = False
         if self.s.startswith("#!") or self.s.startswith("\ufeff#!"):
             m = BREAK.search(self.s)
@@ -75,47 +78,52 @@ class Parser:
         self.next()
 
     # ---- tokens
-    def next(self):
-        s, p = self.s, self.p
-        self.end = p
+    def scan(self, p):
+        """The token at or behind an offset as (kind, text, start, whether a line break comes before, end); kept by offset."""
+        s = self.s
         m = SPACE.match(s, p)
         if m:
-            self.nl = BREAK.search(m.group()) is not None
-            p = m.end()
+            nl = BREAK.search(s, p, m.end()) is not None
+            at = m.end()
         else:
-            self.nl = p == 0
-        self.st = p
-        if p >= len(s):
-            self.k, self.v, self.p = "eof", "", p
-            return
-        m = TOKEN.match(s, p)
+            nl, at = p == 0, p
+        if at >= len(s):
+            token = self.memo[p] = ("eof", "", at, nl, at)
+            return token
+        m = TOKEN.match(s, at)
         if not m:
-            raise Bad("unterminated text" if s[p] in "'\"" or s.startswith("/*", p) else "unexpected character", p)
-        k, v = m.lastgroup, m.group()
-        self.p = m.end()
-        if k == "id" and not v.isascii() and not (v.replace("$", "_")).isidentifier():
-            raise Bad("unexpected character", p)
-        if k == "num":
-            c = s[self.p : self.p + 1]
+            raise Bad("unterminated text" if s[at] in "'\"" or s.startswith("/*", at) else "unexpected character", at)
+        k, v, end = m.lastgroup, m.group(), m.end()
+        if k == "id":
+            if not v.isascii() and not v.replace("$", "_").isidentifier():
+                raise Bad("unexpected character", at)
+        elif k == "num":
+            c = s[end : end + 1]
             if c and (c.isalnum() or c in "_$\\"):
-                raise Bad("identifier directly after number", p)
+                raise Bad("identifier directly after number", at)
             if (len(v) > 1 and v[0] == "0" and v[1].isdigit()) or v[-1] == "_" or "__" in v:
-                raise Bad("bad number", p)
-        elif k == "str" and "\\" in v:
-            if BAD_ESCAPE.search(re.sub(r"\\[^xu]", "", v)) or OCTAL_ESCAPE.search(v):
-                raise Bad("bad escape", p)
-        elif k == "p" and s.startswith("/*", p):
-            raise Bad("unterminated comment", p)
-        self.k, self.v = k, v
+                raise Bad("bad number", at)
+        elif k == "str":
+            if "\\" in v and (BAD_ESCAPE.search(re.sub(r"\\[^xu]", "", v)) or OCTAL_ESCAPE.search(v)):
+                raise Bad("bad escape", at)
+        elif s.startswith("/*", at):
+            raise Bad("unterminated comment", at)
+        token = self.memo[p] = (k, v, at, nl, end)
+        return token
+
+    def next(self):
+        self.k, self.v, self.st, self.nl, self.p = self.memo.get(self.p) or self.scan(self.p)
 
     def save(self):
-        return self.p, self.k, self.v, self.st, self.nl, self.end, self.fn, self.is_async, self.gen, self.loop, self.brk, self.no_in, self.no_cond_arrow, self.method, self.static_block, len(self.labels), [(set(a), set(b), c) for a, b, c in self.scopes[-1:]], len(self.scopes)
+        return self.p, self.k, self.v, self.st, self.nl, self.fn, self.is_async, self.gen, self.loop, self.brk, self.no_in, self.no_cond_arrow, self.method, self.static_block, self.cls, self.ambient, self.no_extends, self.labels, len(self.labels), self.scopes, len(self.scopes), len(self.added)
 
     def restore(self, x):
-        (self.p, self.k, self.v, self.st, self.nl, self.end, self.fn, self.is_async, self.gen, self.loop, self.brk, self.no_in, self.no_cond_arrow, self.method, self.static_block, n, last, m) = x
-        del self.labels[n:]
-        del self.scopes[m:]
-        self.scopes[-1:] = [(set(a), set(b), c) for a, b, c in last]
+        self.p, self.k, self.v, self.st, self.nl, self.fn, self.is_async, self.gen, self.loop, self.brk, self.no_in, self.no_cond_arrow, self.method, self.static_block, self.cls, self.ambient, self.no_extends, self.labels, labels, self.scopes, scopes, added = x
+        del self.labels[labels:]
+        del self.scopes[scopes:]
+        while len(self.added) > added:
+            names, name = self.added.pop()
+            names.discard(name)
 
     def trial(self, f):
         x = self.save()
@@ -152,41 +160,42 @@ class Parser:
             self.fail("; expected")
 
     def peek(self):
-        x = (self.p, self.k, self.v, self.st, self.nl, self.end)
-        try:
-            self.next()
-            return self.k, self.v, self.nl
-        except Bad:
-            return "bad", "", False
-        finally:
-            self.p, self.k, self.v, self.st, self.nl, self.end = x
-
-    def word_follows(self, no_break=True):
-        k, v, nl = self.peek()
-        return k == "id" and not (no_break and nl) and v not in ("in", "of", "instanceof", "as", "satisfies")
+        """(kind, text, whether a line break comes before) of the next token."""
+        t = self.memo.get(self.p)
+        if t is None:
+            try:
+                t = self.scan(self.p)
+            except Bad:
+                return "bad", "", False
+        return t[0], t[1], t[3]
 
     # ---- scopes (plain JavaScript only)
+    def add(self, names, name):
+        if name not in names:
+            names.add(name)
+            self.added.append((names, name))
+
     def declare(self, name, kind, at):
         if self.ts or not self.scopes or name is None:
             return
-        lex, var, _ = self.scopes[-1]
+        lex, var, function = self.scopes[-1]
         if kind == "var":
             for lex, var, function in reversed(self.scopes):
                 if name in lex:
                     raise Bad("name declared twice", at)
-                var.add(name)
+                self.add(var, name)
                 if function:
                     break
         elif kind == "param":
-            var.add(name)
-        elif kind == "fn" and self.scopes[-1][2] and len(self.scopes) > 1:
+            self.add(var, name)
+        elif kind == "fn" and function and len(self.scopes) > 1:
             if name in lex:
                 raise Bad("name declared twice", at)
-            var.add(name)
+            self.add(var, name)
         else:
             if name in lex or name in var:
                 raise Bad("name declared twice", at)
-            lex.add(name)
+            self.add(lex, name)
 
     # ---- names
     def ident(self, binding=True):
@@ -403,8 +412,10 @@ class Parser:
                 self.fail("bad assignment target")
             self.next()
             self.assign()
-        elif target == "pattern!":
+            return None
+        if target == "pattern!":
             self.fail("initialiser in an object")
+        return target
 
     def simple_arrow(self, is_async):
         def head():
@@ -742,16 +753,12 @@ class Parser:
 
     def paren(self):
         """The inside of parentheses; what can be assigned to stays so only if it is a single target."""
-        one = self.k == "id" and self.v not in RESERVED or self.is_w("this") or self.is_p("(")
-        st = self.st
-        x = self.save() if one else None
-        if one:
-            t = self.trial(self.conditional)
-            if t in ("target", "name") and self.is_p(")"):
-                return t
-            self.restore(x)
-        self.expr()
-        return None
+        t = self.assign()
+        if self.is_p(","):
+            t = None
+            while self.eat(","):
+                self.assign()
+        return t if t in ("target", "name") else None
 
     def regex(self, body, flags):
         if len(set(flags)) != len(flags) or set(flags) - set("dgimsuvy"):
@@ -1679,7 +1686,7 @@ class Parser:
             self.function_type()
         else:
             self.union()
-            if self.is_w("extends") and not self.nl and not getattr(self, "no_extends", False):
+            if self.is_w("extends") and not self.nl and not self.no_extends:
                 self.next()
                 self.no_extends = True
                 try:
@@ -1725,7 +1732,7 @@ class Parser:
         if self.is_p("<"):
             self.type_params()
         scopes, self.scopes = self.scopes, []
-        old, self.no_extends = getattr(self, "no_extends", False), False
+        old, self.no_extends = self.no_extends, False
         self.params()
         self.scopes = scopes
         self.need("=>")
@@ -1782,7 +1789,7 @@ class Parser:
                 return self.next()
             if v == "(":
                 self.next()
-                old, self.no_extends = getattr(self, "no_extends", False), False
+                old, self.no_extends = self.no_extends, False
                 self.type()
                 self.no_extends = old
                 return self.need(")")
@@ -1901,7 +1908,7 @@ class Parser:
         return True
 
     def object_type(self):
-        old, self.no_extends = getattr(self, "no_extends", False), False
+        old, self.no_extends = self.no_extends, False
         x = self.save()
         if self.trial(self.mapped):
             self.no_extends = old
