@@ -10,6 +10,7 @@ directives, stand-ins, pointers, disabled code and restatements of the signature
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import spread
-from ..sources.ecma import REGEX, check
-from .syntax import LEX, OPERAND, PAIRS, chunk_map, chunks, extension, judge
+from ..sources.ecma import check
+from .syntax import CODE, Trace, chunk_map, chunks, extension, judge, lex
 
 # ---- what a description says ----
 
@@ -144,73 +145,37 @@ HEAD = re.compile(
     r"(?:(?:export|default|declare|async|public|private|protected|static|abstract|override|readonly|get|set|accessor)\s+|\*\s*)*"
     r"(?:function\b\s*\*?\s*(?P<f>[\w$]*)\s*(?=[(<])|(?:const|let|var)\s+(?P<v>[\w$]+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\b\s*\*?|(?=\(|[\w$]+\s*=>|<))|(?P<m>[\w$#]+|\[[^\]\n]+\])\s*\??\s*(?=[(<]))"
 )
+LINE = re.compile(r"^[ \t\ufeff]*(?=\S)", re.M)
+SPACES = re.compile(r"[ \t]*")
 # Words before a parenthesis that begin no method.
 NOT_METHOD = frozenset("if for while switch catch return function await typeof new throw super this import export do else case with yield void delete".split())
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, bool]], list[tuple[str, int]], dict[int, int]]:
-    """Comments as (start, end, whether first on their line), brackets as (kind, offset), and which bracket closes which."""
-    comments: list[tuple[int, int, bool]] = []
-    firsts: list[tuple[str, int]] = []
-    match: dict[int, int] = {}
-    stack: list[tuple[str, int]] = []
-    p, n, value, first = 0, len(text), False, True
-    while p < n:
-        m = LEX.match(text, p)
-        k, v, at = m.lastgroup, m.group(), p
-        p = m.end()
-        if k == "s":
-            first = first or v == "\n"
-            continue
-        if k in "lc":
-            if k == "c":
-                e = text.find("*/", p)
-                p = n if e < 0 else e + 2
-            comments.append((at, p, first))
-            first = first and "\n" not in text[at:p] or "\n" in text[at:p] and first
-            continue
-        if first:
-            firsts.append((k, at))
-        first = False
-        if k == "w":
-            value = v not in OPERAND
-        elif k == "q":
-            value = True
-        elif k == "o":
-            stack.append((v, at))
-            value = False
-        elif k == "x" or k == "t":
-            if k == "x" and stack and stack[-1][0] == "${" and v == "}":
-                stack.pop()
-                p = _template(text, p, stack)
-                value = True
-            elif k == "t":
-                p = _template(text, p, stack)
-                value = True
-            else:
-                # a wrong closer is water
-                while stack and stack[-1][0] != PAIRS[v] and any(b == PAIRS[v] for b, _ in stack[-3:]):
-                    stack.pop()
-                if stack and stack[-1][0] == PAIRS[v]:
-                    match[stack.pop()[1]] = at
-                value = v != "}"
-        elif k == "d":
-            r = None if value else REGEX.match(text, at)
-            if r:
-                p, value = r.end(), True
-            else:
-                value = False
-        elif k != "i":
-            value = False
-    return comments, firsts, match
-
-
-def _template(text: str, p: int, stack: list) -> int:
-    """Go on in a template's text; behind its end, or into a hole."""
-    m = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{)?").match(text, p)
-    if m.group(1) == "${":
-        stack.append(("${", m.end() - 1))
-    return m.end()
+def scan(text: str) -> tuple[list[tuple[int, int, bool]], list[int], dict[int, int]]:
+    """Comments as (start, end, whether first on their line), offsets of the first code of every line, and which bracket closes which."""
+    trace = Trace()
+    lex(text, CODE, 0, trace)
+    comments = []
+    for a, b in trace.comments:
+        ahead = text[text.rfind("\n", 0, a) + 1 : a]
+        comments.append((a, b, not ahead.strip() or re.fullmatch(r"\s*(?:/\*.*?\*/\s*)+", ahead) is not None))
+    spans = sorted(trace.comments + trace.templates)
+    starts = [a for a, _ in spans]
+    firsts = []
+    for m in LINE.finditer(text):
+        at = m.end()
+        while True:
+            i = bisect_right(starts, at) - 1
+            if i < 0 or at >= spans[i][1]:
+                firsts.append(at)
+                break
+            end = spans[i][1]
+            if "\n" in text[at:end]:
+                break
+            at = SPACES.match(text, end).end()
+            if at >= len(text) or text[at] == "\n":
+                break
+    return comments, firsts, trace.match
 
 
 def islands(text: str) -> dict[int, tuple[str | None, str | None, str | None]]:
@@ -224,8 +189,6 @@ def islands(text: str) -> dict[int, tuple[str | None, str | None, str | None]]:
     starts = [0]
     for m in re.finditer("\n", text):
         starts.append(m.end())
-    from bisect import bisect_right
-
     line_of = lambda at: bisect_right(starts, at)
     out: dict[int, tuple[str | None, str | None, str | None]] = {}
     docs: dict[int, str] = {}
@@ -241,7 +204,7 @@ def islands(text: str) -> dict[int, tuple[str | None, str | None, str | None]]:
         else:
             run = None
         docs[end + 1] = body
-    for k, at in firsts:
+    for at in firsts:
         m = HEAD.match(text, at)
         if not m or not (m["f"] is not None or m["v"] or m["m"]) or m["m"] in NOT_METHOD:
             continue

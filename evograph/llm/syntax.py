@@ -32,15 +32,9 @@ CHUNK = 1 << 16
 CODE, VALUE, COMMENT, TEMPLATE = 0, 1, 2, 3
 PAIRS = {")": "(", "]": "[", "}": "{", "`": "`"}
 
-# Reserved words that can begin a top-level statement and can't continue one.
-BEGIN = frozenset("import export const var function class enum".split())
 # Words behind which an operand follows.
 OPERAND = frozenset("return typeof instanceof in of new delete void throw case do else await yield default extends".split())
 
-LEX = re.compile(
-    r"(?P<s>[^\S\n]+|\n)|(?P<l>//[^\n]*)|(?P<c>/\*)|(?P<q>'(?:[^'\\\n]|\\[\s\S])*'|\"(?:[^\"\\\n]|\\[\s\S])*\")"
-    r"|(?P<w>[\w$\u0080-\U0010ffff]+)|(?P<o>[(\[{])|(?P<x>[)\]}])|(?P<t>`)|(?P<d>/)|(?P<i>\+\+|--)|(?P<u>['\"])|(?P<p>[\s\S])"
-)
 TEXT = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{)?")
 
 
@@ -55,90 +49,144 @@ class Summary(NamedTuple):
     doubt: bool  # a closing brace that a template hole might own
 
 
-def lex(text: str, state: int, base: int = 0) -> Summary:
+# What the lexer stops at: texts, comments, brackets, slashes, and words at the beginning of a line that can
+# begin a statement. All else lies between and is looked back at where it matters.
+STOP = re.compile(
+    r"(?P<q>'(?:[^'\\\n]|\\[\s\S])*'|\"(?:[^\"\\\n]|\\[\s\S])*\")|(?P<l>//[^\n]*)|(?P<c>/\*)|(?P<o>[(\[{])|(?P<x>[)\]}])|(?P<t>`)|(?P<d>/)|(?P<u>['\"])"
+    r"|(?P<w>^(?:import|export|const|var|function|class|enum)(?![\w$]))",
+    re.M,
+)
+LAST_WORD = re.compile(r"[\w$\u0080-\U0010ffff]+$")
+
+
+class Trace:
+    """What the lexer met on its way: spans of comments, spans of template text, and which bracket closes which."""
+
+    def __init__(self):
+        self.comments: list[tuple[int, int]] = []
+        self.templates: list[tuple[int, int]] = []
+        self.match: dict[int, int] = {}
+
+
+def lex(text: str, state: int, base: int = 0, trace: Trace | None = None) -> Summary:
     """Run the lexer over one chunk from one entry state."""
+    trace = trace or Trace()
+    places: list[int] = []  # of the opened brackets
     closed: list[str] = []
     opened: list[str] = []
     cuts: list[tuple[int, int]] = []
-    bad, doubt, p, n, last, line = -1, False, 0, len(text), "" if base == 0 else "?", True
+    comments = trace.comments  # to look back over
+    entry = state if state in (CODE, VALUE) else CODE
+    bad, doubt, p, n = -1, False, 0, len(text)
+
+    def before(at: int) -> int:
+        """Offset of the last character of code before an offset, or -1."""
+        i = len(comments) - 1
+        while True:
+            while at > 0 and text[at - 1].isspace():
+                at -= 1
+            while i >= 0 and comments[i][1] > at:
+                i -= 1
+            if i >= 0 and comments[i][1] == at:
+                at = comments[i][0]
+                continue
+            return at - 1
+
+    def value_at(at: int) -> int:
+        """CODE or VALUE: whether an operand has ended before an offset."""
+        i = before(at)
+        if i < 0:
+            return entry
+        c = text[i]
+        if c in ")]'\"`":
+            return VALUE
+        if c.isalnum() or c in "_$" or c >= "\x80":
+            return CODE if LAST_WORD.search(text, max(0, i - 15), i + 1).group() in OPERAND else VALUE
+        if c in "+-" and i and text[i - 1] == c:
+            return value_at(i - 1)
+        if c == "/" and i in slashes:
+            return VALUE
+        return CODE
+
+    slashes: set[int] = set()  # offsets of characters that end a regular expression
     while p < n:
         if state == COMMENT:
             e = text.find("*/", p)
+            end = n if e < 0 else e + 2
+            comments.append((p, end))
             if e < 0:
                 return Summary(COMMENT, tuple(closed), tuple(opened), tuple(cuts), bad, doubt)
-            p, state = e + 2, CODE if last in ";}{(" else VALUE if last == "v" else CODE
+            p, state = end, CODE
             continue
         if state == TEMPLATE:
             m = TEXT.match(text, p)
+            trace.templates.append((p, m.end()))
             p = m.end()
             if m.group(1) is None:
                 return Summary(TEMPLATE, tuple(closed), tuple(opened), tuple(cuts), bad, doubt)
             if m.group(1) == "`":
                 if opened:
                     opened.pop()
+                    places.pop()
                 else:
                     closed.append("`")
-                state, last = VALUE, "v"
             else:
                 opened.append("${")
-                state, last = CODE, "("
+                places.append(p - 1)
+            state = CODE
             continue
-        m = LEX.match(text, p)
-        k, v, at = m.lastgroup, m.group(), p
+        m = STOP.search(text, p)
+        if not m:
+            break
+        k, at = m.lastgroup, m.start()
         p = m.end()
-        if k == "s":
-            line = line or v == "\n"
-            continue
-        if k == "l":
-            continue
-        if k == "c":
-            e = text.find("*/", p)
-            if e < 0:
-                return Summary(COMMENT, tuple(closed), tuple(opened), tuple(cuts), bad, doubt)
-            p = e + 2
-            continue
-        if k == "w":
-            if line and last in ("", ";", "}") and not opened and v in BEGIN:
-                cuts.append((base + at, len(closed)))
-            state = CODE if v in OPERAND else VALUE
-            last = "v"
-        elif k == "q":
-            state, last = VALUE, "v"
-        elif k == "o":
-            opened.append(v)
-            state, last = CODE, v
+        if k == "o":
+            opened.append(text[at])
+            places.append(at)
         elif k == "x":
+            v = text[at]
             if opened:
-                top = opened.pop()
+                top, place = opened.pop(), places.pop()
                 if v == "}" and top == "${":
                     state = TEMPLATE
-                    continue
-                if PAIRS[v] != top:
+                elif PAIRS[v] != top:
                     opened.append(top)
+                    places.append(place)
                     closed.append("!")
+                else:
+                    trace.match[place] = at
             else:
                 closed.append(v)
                 doubt = doubt or v == "}"
-            state, last = (CODE, "}") if v == "}" else (VALUE, ")")
+        elif k == "w":
+            # the text before the chunk is not known, so that only a file's first word counts without one
+            if not opened:
+                i = before(at)
+                if i >= 0 and text[i] in ";}" or i < 0 and base == 0:
+                    cuts.append((base + at, len(closed)))
+        elif k == "l":
+            comments.append((at, p))
+        elif k == "c":
+            state, p = COMMENT, at
+            e = text.find("*/", at + 2)
+            if e < 0:
+                return Summary(COMMENT, tuple(closed), tuple(opened), tuple(cuts), bad, doubt)
+            comments.append((at, e + 2))
+            state, p = CODE, e + 2
         elif k == "t":
             opened.append("`")
+            places.append(at)
             state = TEMPLATE
         elif k == "d":
-            r = REGEX.match(text, at) if state == CODE else None
+            r = REGEX.match(text, at) if value_at(at) == CODE else None
             if r:
-                p, state, last = r.end(), VALUE, "v"
-            else:
-                state, last = CODE, "/"
-        elif k == "u":
-            if bad < 0:
-                bad = base + at
-            state, last = VALUE, "v"
-        elif k == "i":
-            last = "+"
-        else:
-            state, last = CODE, v
-        line = False
-    return Summary(state, tuple(closed), tuple(opened), tuple(cuts), bad, doubt)
+                p = r.end()
+                slashes.add(p - 1)
+        elif k == "u" and bad < 0:
+            bad = base + at
+    if state in (COMMENT, TEMPLATE):
+        return Summary(state, tuple(closed), tuple(opened), tuple(cuts), bad, doubt)
+    return Summary(value_at(n), tuple(closed), tuple(opened), tuple(cuts), bad, doubt)
 
 
 def chunk_map(text: str, first: bool, base: int) -> dict[int, Summary]:
