@@ -188,16 +188,20 @@ def chain_from_hub(r: Relations) -> DataFrame:
     return call_chain(r, hub.select("id"), 2)
 
 
-def cyclic_core(r: Relations) -> DataFrame:
-    """Import pairs that can lie on a cycle: ends without another import in or out are taken away until none is left."""
+def cyclic_core(r: Relations, rounds: int = 8) -> DataFrame:
+    """Import pairs that can lie on a cycle: ends without another import in or out are taken away, layer by layer.
+
+    After some rounds what is left may still hold layers of a deep acyclic part; that costs later joins some rows, but no cycle.
+    """
     e = cut(r.file_imports)
     size = e.count()
-    while True:
+    for _ in range(rounds):
         e = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
         now = e.count()
         if now == size:
-            return e
+            break
         size = now
+    return e
 
 
 def severity(length):

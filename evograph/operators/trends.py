@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..relations import AS_OF_US, DAY_US, SOURCE, Relations, clamp, day_of, js_round, n, path_dir, r2, sql
+from ..relations import AS_OF_US, DAY_US, SOURCE, Relations, clamp, js_round, n, path_dir, r2, sql
 from .complexity import report
 from .graph import DRIFT, USED, cyclic_core, dead_by_name, drift
 from .history import OWN, ownership

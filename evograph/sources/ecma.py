@@ -21,6 +21,11 @@ TOKEN = re.compile(
     rf"|(?P<priv>\#{ID})"
     r"|(?P<p>\.\.\.|=>|===|!==|==|!=|\*\*=|\*\*|\+\+|--|<<=|<<|<=|&&=|\|\|=|\?\?=|&&|\|\||\?\?|\?\.(?!\d)|\+=|-=|\*=|/=|%=|&=|\|=|\^=|[{}()\[\];,<>+\-*/%&|^!~?:=.@`#])"
 )
+# White space and comments in one go with the token behind them.
+STEP = re.compile(
+    r"(?:[ \t\v\f\xa0\ufeff\u1680\u2000-\u200a\u202f\u205f\u3000\n\r\u2028\u2029]+|//[^\n\r\u2028\u2029]*|/\*(?:[^*]|\*(?!/))*\*/)*+"
+    r"(?:" + TOKEN.pattern + r"|(?P<eof>\Z))"
+)
 REGEX = re.compile(r"/(?![*/])((?:[^/\\\[\n\r\u2028\u2029]|\\[^\n\r\u2028\u2029]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+)/([A-Za-z]*)")
 TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{)")
 JSX_TEXT = re.compile(r"[^<{>}]*")
@@ -81,19 +86,18 @@ class Parser:
     def scan(self, p):
         """The token at or behind an offset as (kind, text, start, whether a line break comes before, end); kept by offset."""
         s = self.s
-        m = SPACE.match(s, p)
-        if m:
-            nl = BREAK.search(s, p, m.end()) is not None
-            at = m.end()
-        else:
-            nl, at = p == 0, p
-        if at >= len(s):
+        m = STEP.match(s, p)
+        if not m:
+            m = SPACE.match(s, p)
+            at = m.end() if m else p
+            raise Bad("unterminated text" if s[at : at + 1] in ("'", '"') or s.startswith("/*", at) else "unexpected character", at)
+        k = m.lastgroup
+        at, end = m.span(k)
+        v = s[at:end]
+        nl = at - p > 1 and BREAK.search(s, p, at) is not None or at - p == 1 and s[p] in "\n\r\u2028\u2029" or p == 0
+        if k == "eof":
             token = self.memo[p] = ("eof", "", at, nl, at)
             return token
-        m = TOKEN.match(s, at)
-        if not m:
-            raise Bad("unterminated text" if s[at] in "'\"" or s.startswith("/*", at) else "unexpected character", at)
-        k, v, end = m.lastgroup, m.group(), m.end()
         if k == "id":
             if not v.isascii() and not v.replace("$", "_").isidentifier():
                 raise Bad("unexpected character", at)
