@@ -150,20 +150,20 @@ def _q(f, *args, **kw):
 
 
 QUERIES = {
-    "p1_categories": _q(categories), "p2_hotspots": _q(hotspots), "p2_hotspots_with_files": _q(hotspots, 20, 10, True), "p3_refactoring_targets": _q(refactoring_targets),
-    "a1_complexity_report": _q(report), "a2_complexity_by_directory": _q(by_directory), "h_health_family": _q(health_family), "p20_file_grades": _q(file_grades),
+    "pf1_categories": _q(categories), "pf2_hotspots": _q(hotspots), "pf2_hotspots_with_files": _q(hotspots, 20, 10, True), "pf3_refactoring_targets": _q(refactoring_targets),
+    "a1_complexity_report": _q(report), "a2_complexity_by_directory": _q(by_directory), "h_health_family": _q(health_family), "pf20_file_grades": _q(file_grades),
     "j8_compare_versions": lambda s, d: compare_versions(*two_versions(Relations(s, d))), "j9_hotspot_difference": lambda s, d: hotspot_difference(*two_versions(Relations(s, d))),
-    "p34_branch_verdict": _q(branch_verdict), "w8_snapshots": _q(snapshot),
+    "pf34_branch_verdict": _q(branch_verdict), "w8_snapshots": _q(snapshot),
 }
 
 CAT = "CASE WHEN complexity <= 5 THEN 'low' WHEN complexity <= 10 THEN 'medium' WHEN complexity <= 20 THEN 'high' WHEN complexity > 20 THEN 'veryHigh' END"
 VERSIONS = ", before_ AS (SELECT id, file_path, complexity FROM files_), after_ AS (SELECT id, file_path, CASE WHEN modification_count > 10 THEN complexity * 4 // 3 WHEN modification_count < 2 THEN complexity - 1 ELSE complexity END AS complexity FROM files_)"
 DIFF = ", hot_b AS (SELECT DISTINCT file_path FROM before_ WHERE complexity >= 15), hot_a AS (SELECT DISTINCT file_path FROM after_ WHERE complexity >= 15), diff_ AS (SELECT file_path, 'new' AS change FROM hot_a WHERE file_path NOT IN (FROM hot_b) UNION ALL SELECT file_path, 'resolved' FROM hot_b WHERE file_path NOT IN (FROM hot_a))"
 SQL = {
-    "p1_categories": sql(f"SELECT id, complexity::BIGINT AS complexity, {CAT} AS category FROM symbols_ WHERE complexity IS NOT NULL"),
-    "p2_hotspots": sql(f"SELECT id, name, file_path, complexity::BIGINT AS complexity, {CAT} AS category FROM symbols_ WHERE complexity <> 0 AND complexity >= 10 ORDER BY complexity DESC, ord, id LIMIT 10"),
-    "p2_hotspots_with_files": sql(f"SELECT id, name, file_path, complexity::BIGINT AS complexity, {CAT} AS category FROM nodes_ WHERE complexity <> 0 AND complexity >= 10 ORDER BY complexity DESC, ord, id LIMIT 20"),
-    "p3_refactoring_targets": sql("""SELECT id, CASE WHEN complexity > 20 THEN 'high' ELSE 'medium' END AS priority, 'complexity' AS reason FROM symbols_ WHERE complexity > 10
+    "pf1_categories": sql(f"SELECT id, complexity::BIGINT AS complexity, {CAT} AS category FROM symbols_ WHERE complexity IS NOT NULL"),
+    "pf2_hotspots": sql(f"SELECT id, name, file_path, complexity::BIGINT AS complexity, {CAT} AS category FROM symbols_ WHERE complexity <> 0 AND complexity >= 10 ORDER BY complexity DESC, ord, id LIMIT 10"),
+    "pf2_hotspots_with_files": sql(f"SELECT id, name, file_path, complexity::BIGINT AS complexity, {CAT} AS category FROM nodes_ WHERE complexity <> 0 AND complexity >= 10 ORDER BY complexity DESC, ord, id LIMIT 20"),
+    "pf3_refactoring_targets": sql("""SELECT id, CASE WHEN complexity > 20 THEN 'high' ELSE 'medium' END AS priority, 'complexity' AS reason FROM symbols_ WHERE complexity > 10
         UNION ALL SELECT id, 'medium', 'length' FROM symbols_ WHERE line_end - line_start + 1 > 50 AND complexity > 5"""),
     "a1_complexity_report": sql("""SELECT count(*) AS symbols, coalesce(floor(avg(complexity) * 100 + 0.5) / 100, 0) AS average, coalesce(max(complexity), 0)::BIGINT AS maximum, coalesce(sum(complexity), 0)::BIGINT AS total,
         count(*) FILTER (complexity <= 5) AS low, count(*) FILTER (complexity > 5 AND complexity <= 10) AS medium, count(*) FILTER (complexity > 10 AND complexity <= 20) AS high, count(*) FILTER (complexity > 20) AS very_high
@@ -183,11 +183,11 @@ SQL = {
         UNION ALL SELECT 'h7', greatest(0.0, least(100.0, 100 - 5 * (floor(v * 100 + 0.5) / 100))) FROM s
         UNION ALL SELECT 'h8', 100 - least(30, 2 * s.hot) - least(20.0, 2 * greatest(0.0, a.z - 5)) FROM s, a)
         SELECT formula, (floor(score * 10000 + 0.5) / 10000)::DOUBLE AS score FROM h"""),
-    "p20_file_grades": sql("""SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade
+    "pf20_file_grades": sql("""SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade
         FROM (SELECT file_path, greatest(0.0::DOUBLE, 100 - 5 * (floor(avg(complexity) * 100 + 0.5) / 100)) AS score FROM symbols_ WHERE complexity IS NOT NULL GROUP BY 1)"""),
     "j8_compare_versions": sql(VERSIONS + " SELECT count(*) FILTER (a.complexity < b.complexity) AS improved, count(*) FILTER (a.complexity > b.complexity) AS worsened, count(*) FILTER (a.complexity = b.complexity) AS unchanged FROM before_ b JOIN after_ a USING (id) WHERE b.complexity <> 0 AND a.complexity <> 0"),
     "j9_hotspot_difference": sql(VERSIONS + DIFF + " SELECT * FROM diff_"),
-    "p34_branch_verdict": sql(VERSIONS + DIFF + """, o AS (SELECT floor(avg(complexity) * 100 + 0.5) / 100 AS old_average FROM before_), w AS (SELECT floor(avg(complexity) * 100 + 0.5) / 100 AS new_average FROM after_),
+    "pf34_branch_verdict": sql(VERSIONS + DIFF + """, o AS (SELECT floor(avg(complexity) * 100 + 0.5) / 100 AS old_average FROM before_), w AS (SELECT floor(avg(complexity) * 100 + 0.5) / 100 AS new_average FROM after_),
         x AS (SELECT *, (SELECT count(*) FROM diff_ WHERE change = 'new') AS new_hotspots, (SELECT count(*) FROM diff_ WHERE change = 'resolved') AS resolved_hotspots,
             floor((greatest(0.0, least(100.0, 100 - 5 * new_average)) - greatest(0.0, least(100.0, 100 - 5 * old_average))) * 100 + 0.5) / 100 AS health_change, floor((new_average - old_average) * 100 + 0.5) / 100 AS complexity_change FROM o, w)
         SELECT *, CASE WHEN health_change < -10 OR new_hotspots >= 3 THEN 'danger' WHEN health_change < -5 OR new_hotspots >= 1 OR complexity_change > 2 THEN 'caution' ELSE 'safe' END AS verdict FROM x"""),

@@ -253,7 +253,7 @@ def _q(f, *a, **k):
 
 QUERIES = {
     "c1_coupling": _q(coupling), "c2_unrelated": _q(unrelated_pairs), "c3_co_changes": _q(co_changes), "t4_impact": _q(impact), "k_risk_batch": _q(change_risk), "k2_largest_files": _q(largest_files), "j10_find_file": _q(reported_files),
-    "p11_file_risk": _q(predicted_risk), "p11_prediction": _q(prediction), "p12_precommit": _q(precommit), "p13_review_risk": _q(review_risk), "p28_fixes": _q(fix_suggestions), "p29_blocks": _q(extractable_blocks), "p30_groups": _q(symbol_groups),
+    "pf11_file_risk": _q(predicted_risk), "pf11_prediction": _q(prediction), "pf12_precommit": _q(precommit), "pf13_review_risk": _q(review_risk), "pf28_fixes": _q(fix_suggestions), "pf29_blocks": _q(extractable_blocks), "pf30_groups": _q(symbol_groups),
 }
 
 SRC = r"regexp_matches(file_path, '\.(ts|tsx|js|jsx)$')"
@@ -302,18 +302,18 @@ SQL = {
         ((k1 >= 60)::INT + (k2 >= 60)::INT + (k3 >= 50)::INT + (k4 >= 50)::INT + (k5 >= 40)::INT + (k6 >= 50)::INT)::BIGINT AS recommendations FROM o"""),
     "k2_largest_files": sql("SELECT hash, file_path, (added + removed)::BIGINT AS lines FROM commit_files_ QUALIFY row_number() OVER (PARTITION BY hash ORDER BY added + removed DESC, file_path) = 1"),
     "j10_find_file": sql(", w AS (SELECT DISTINCT regexp_replace(file_path, '^/?workspace/', '') AS path FROM build_errors WHERE file_path IS NOT NULL) SELECT path, id FROM w JOIN files_ ON ends_with(file_path, path) AND split_part(file_path, '/', -1) = split_part(path, '/', -1) QUALIFY row_number() OVER (PARTITION BY path ORDER BY file_path <> path, ord NULLS LAST, id) = 1"),
-    "p11_file_risk": sql(PRED + " SELECT * FROM pr_"),
-    "p11_prediction": sql(PRED + """ SELECT hash, top, floor(mean * 100 + 0.5) / 100 AS mean, minutes, level, CASE level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END::BIGINT AS reviewers FROM (SELECT *, CASE WHEN top >= 70 OR mean >= 50 THEN 'high' WHEN top >= 50 OR mean >= 35 THEN 'medium' ELSE 'low' END AS level
+    "pf11_file_risk": sql(PRED + " SELECT * FROM pr_"),
+    "pf11_prediction": sql(PRED + """ SELECT hash, top, floor(mean * 100 + 0.5) / 100 AS mean, minutes, level, CASE level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END::BIGINT AS reviewers FROM (SELECT *, CASE WHEN top >= 70 OR mean >= 50 THEN 'high' WHEN top >= 50 OR mean >= 35 THEN 'medium' ELSE 'low' END AS level
         FROM (SELECT hash, max(risk) AS top, avg(risk) AS mean, sum(minutes)::BIGINT AS minutes FROM pr_ GROUP BY 1))"""),
-    "p12_precommit": sql(DEP + """, l AS (SELECT hash, greatest(CASE WHEN added + removed > 200 THEN 2 WHEN added + removed > 50 THEN 1 ELSE 0 END, CASE WHEN file_path LIKE '%config%' OR file_path LIKE '%.env' OR file_path LIKE '%migration%' OR file_path LIKE '%schema%' THEN 2 WHEN file_path LIKE '%package.json%' THEN 1 ELSE 0 END,
+    "pf12_precommit": sql(DEP + """, l AS (SELECT hash, greatest(CASE WHEN added + removed > 200 THEN 2 WHEN added + removed > 50 THEN 1 ELSE 0 END, CASE WHEN file_path LIKE '%config%' OR file_path LIKE '%.env' OR file_path LIKE '%migration%' OR file_path LIKE '%schema%' THEN 2 WHEN file_path LIKE '%package.json%' THEN 1 ELSE 0 END,
         CASE WHEN complexity > 20 THEN 2 ELSE 0 END, CASE WHEN coalesce(dependents, 0) > 5 THEN 1 ELSE 0 END) AS level FROM commit_files_ LEFT JOIN files_ USING (file_path) LEFT JOIN dp_ USING (file_path))
         SELECT hash, max(level)::BIGINT AS risk, count(*) FILTER (level = 2) AS high_files, CASE WHEN max(level) = 2 THEN CASE WHEN count(*) FILTER (level = 2) >= 3 THEN 'fail' ELSE 'warn' END WHEN max(level) = 1 THEN 'warn' ELSE 'pass' END AS status FROM l GROUP BY 1"""),
-    "p13_review_risk": sql(r""", p AS (SELECT hash, file_path, CASE WHEN regexp_matches(file_path, 'auth|payment|security') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(file_path, 'package\.json|tsconfig\.json|\.env') THEN 2 ELSE 0 END + CASE WHEN added + removed > 500 THEN 3 WHEN added + removed > 200 THEN 2 WHEN added + removed > 50 THEN 1 ELSE 0 END AS x FROM commit_files_),
+    "pf13_review_risk": sql(r""", p AS (SELECT hash, file_path, CASE WHEN regexp_matches(file_path, 'auth|payment|security') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(file_path, 'package\.json|tsconfig\.json|\.env') THEN 2 ELSE 0 END + CASE WHEN added + removed > 500 THEN 3 WHEN added + removed > 200 THEN 2 WHEN added + removed > 50 THEN 1 ELSE 0 END AS x FROM commit_files_),
         q AS (SELECT hash, CASE WHEN file_path LIKE '%test%' OR file_path LIKE '%spec%' THEN greatest(0, x - 1) ELSE x END AS x FROM p) SELECT hash, CASE WHEN x >= 6 THEN 'critical' WHEN x >= 4 THEN 'high' WHEN x >= 2 THEN 'medium' ELSE 'low' END AS level, count(*) AS files FROM q GROUP BY 1, 2"""),
-    "p28_fixes": sql(USED + OWN + """ SELECT id, 'complexity' AS kind, CASE WHEN complexity >= 20 THEN 'critical' ELSE 'warning' END AS severity FROM symbols_ WHERE complexity >= 10
+    "pf28_fixes": sql(USED + OWN + """ SELECT id, 'complexity' AS kind, CASE WHEN complexity >= 20 THEN 'critical' ELSE 'warning' END AS severity FROM symbols_ WHERE complexity >= 10
         UNION ALL SELECT id, 'size', CASE WHEN line_count > 500 THEN 'warning' ELSE 'info' END FROM files_ WHERE line_count > 300 UNION ALL SELECT DISTINCT src, 'cycle', 'warning' FROM file_imports_ WHERE (dst, src) IN (SELECT (src, dst) FROM file_imports_)
         UNION ALL SELECT DISTINCT file_path, 'dead_export', 'info' FROM dead_ UNION ALL SELECT file_path, 'single_owner', 'warning' FROM own_ WHERE bus_factor = 1"""),
-    "p30_groups": sql("""SELECT file_path, grp, count(*) AS functions FROM (SELECT file_path, CASE WHEN regexp_matches(nm, '^(get|fetch|find|load|read)') THEN 'getters' WHEN regexp_matches(nm, '^(set|update|write|save)') THEN 'setters' WHEN regexp_matches(nm, '^(on|handle)') THEN 'handlers'
+    "pf30_groups": sql("""SELECT file_path, grp, count(*) AS functions FROM (SELECT file_path, CASE WHEN regexp_matches(nm, '^(get|fetch|find|load|read)') THEN 'getters' WHEN regexp_matches(nm, '^(set|update|write|save)') THEN 'setters' WHEN regexp_matches(nm, '^(on|handle)') THEN 'handlers'
         WHEN regexp_matches(nm, '^(create|build|make|init)') THEN 'creation' WHEN regexp_matches(nm, '^(is|has|can|check|validate|match)') THEN 'checks' WHEN regexp_matches(nm, '^(parse|format|render|merge|split|convert|transform)') THEN 'transformation' ELSE 'other' END AS grp
         FROM (SELECT file_path, lower(split_part(name, '.', -1)) AS nm FROM symbols_ WHERE node_type = 'function')) GROUP BY 1, 2"""),
 }

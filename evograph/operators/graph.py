@@ -439,10 +439,10 @@ QUERIES = {
     "g2_contains_edges": _q(contains_edges), "g3_import_edges": _q(import_edges), "g4_dependency_map": _q(dependency_map), "g5_import_counts": _q(import_counts), "g6_enriched_files": _q(enriched_files),
     "g7_languages": _q(language_histogram), "g8_graph_stats": _q(graph_stats), "g10_scan_errors": _q(scan_errors), "j1_resolved_imports": _q(resolved_imports), "t7_degrees": _q(degrees),
     "g9_incremental": lambda s, d: update_incremental(Relations(s, d).nodes.select("id", "ord", "modification_count"), Relations(s, d).raw("nodes").select("id", "ord", "modification_count")).select("id", F.coalesce("modification_count", F.lit(-1)).cast("bigint").alias("modification_count")),
-    "t2_direct_dependents": _q(direct_dependents), "t3_indirect_dependents": _q(indirect_dependents), "t8_coupling_scores": _q(coupling_scores), "p5_relationships": _q(relationships), "p27_mutual_imports": _q(mutual_imports),
+    "t2_direct_dependents": _q(direct_dependents), "t3_indirect_dependents": _q(indirect_dependents), "t8_coupling_scores": _q(coupling_scores), "pf5_relationships": _q(relationships), "pf27_mutual_imports": _q(mutual_imports),
     "j3_dead_by_name": _q(dead_by_name), "j4_dead_by_target": _q(dead_by_target), "a21_dead_by_symbol": _q(dead_by_symbol), "t1_call_chain": _q(chain_from_hub), "t5_bounded_cycles": _q(bounded_cycles), "t6_back_edges": _q(back_edges),
-    "p9_zones": _q(zones), "p10_standup_risk": _q(standup_risk), "p14_edit_warnings": _q(edit_warnings), "a25_drift": _q(drift), "a25_drift_score": _q(drift_score), "a22_architecture": _q(architecture), "p25_diagram": _q(diagram),
-    "s22_diagram_text": _q(diagram_text), "p24_tour": _q(tour), "p26_confession": _q(confession), "a21_summary": _q(codebase_summary),
+    "pf9_zones": _q(zones), "pf10_standup_risk": _q(standup_risk), "pf14_edit_warnings": _q(edit_warnings), "a25_drift": _q(drift), "a25_drift_score": _q(drift_score), "a22_architecture": _q(architecture), "pf25_diagram": _q(diagram),
+    "s22_diagram_text": _q(diagram_text), "pf24_tour": _q(tour), "pf26_confession": _q(confession), "a21_summary": _q(codebase_summary),
 }
 
 DEG = ", deg_ AS (SELECT f.id, (SELECT 1) AS one, coalesce(o.k, 0) AS out_degree, coalesce(i.k, 0) AS in_degree FROM files_ f LEFT JOIN (SELECT src, count(*) AS k FROM imports_ GROUP BY 1) o ON o.src = f.id LEFT JOIN (SELECT dst, count(*) AS k FROM imports_ GROUP BY 1) i ON i.dst = f.id)"
@@ -491,10 +491,10 @@ SQL = {
     "t8_coupling_scores": sql(""", e AS (SELECT src, dst FROM file_imports_ WHERE src <> dst), p AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS ways FROM e GROUP BY 1, 2)
         SELECT a, b, floor(least(1.0, 0.3::DOUBLE * ways + least(0.2::DOUBLE, 0.05::DOUBLE * (SELECT count(*) FROM e x JOIN e y ON x.dst = y.dst WHERE x.src = a AND y.src = b))
             + least(0.2::DOUBLE, 0.05::DOUBLE * (SELECT count(*) FROM e x JOIN e y ON x.src = y.src WHERE x.dst = a AND y.dst = b))) * 10000 + 0.5) / 10000 AS score FROM p"""),
-    "p5_relationships": sql("""SELECT id, coalesce(o, 0) AS imports, coalesce(i, 0) AS imported_by, coalesce(e, 0) AS exports, floor(least(1.0, (coalesce(o, 0) + coalesce(i, 0)) / 20.0) * 100 + 0.5) / 100 AS coupling
+    "pf5_relationships": sql("""SELECT id, coalesce(o, 0) AS imports, coalesce(i, 0) AS imported_by, coalesce(e, 0) AS exports, floor(least(1.0, (coalesce(o, 0) + coalesce(i, 0)) / 20.0) * 100 + 0.5) / 100 AS coupling
         FROM (SELECT id FROM files_) LEFT JOIN (SELECT src AS id, count(DISTINCT dst) AS o FROM imports_ GROUP BY 1) USING (id) LEFT JOIN (SELECT dst AS id, count(DISTINCT src) AS i FROM imports_ GROUP BY 1) USING (id)
         LEFT JOIN (SELECT file_path AS id, count(*) AS e FROM symbols_ WHERE exported GROUP BY 1) USING (id)"""),
-    "p27_mutual_imports": sql("SELECT src, dst FROM file_imports_ WHERE src < dst AND (dst, src) IN (SELECT (src, dst) FROM file_imports_)"),
+    "pf27_mutual_imports": sql("SELECT src, dst FROM file_imports_ WHERE src < dst AND (dst, src) IN (SELECT (src, dst) FROM file_imports_)"),
     "j3_dead_by_name": sql(USED + " SELECT * FROM dead_"),
     "j4_dead_by_target": sql("SELECT id FROM symbols_ WHERE exported AND id NOT IN (SELECT dst FROM imports_)"),
     "a21_dead_by_symbol": sql(", s AS (SELECT DISTINCT unnest(symbols) AS name FROM imports_) SELECT file_path, count(*) AS dead FROM symbols_ WHERE exported AND name NOT IN (SELECT name FROM s WHERE name IS NOT NULL) GROUP BY 1"),
@@ -505,14 +505,14 @@ SQL = {
         UNION ALL SELECT concat_ws(' > ', a.src, a.dst, b.dst), 3 FROM file_imports_ a JOIN file_imports_ b ON b.src = a.dst JOIN file_imports_ c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst
         UNION ALL SELECT concat_ws(' > ', a.src, a.dst, b.dst, c.dst), 4 FROM file_imports_ a JOIN file_imports_ b ON b.src = a.dst JOIN file_imports_ c ON c.src = b.dst JOIN file_imports_ d ON d.src = c.dst AND d.dst = a.src
             WHERE a.src < a.dst AND a.src < b.dst AND a.src < c.dst AND a.dst <> b.dst AND a.dst <> c.dst AND b.dst <> c.dst)"""),
-    "p9_zones": sql(DEG + """ SELECT id, s AS safety, CASE WHEN s >= 70 THEN 'safe' WHEN s < 40 THEN 'danger' ELSE 'caution' END AS zone FROM (SELECT id, greatest(0, least(100, 50
+    "pf9_zones": sql(DEG + """ SELECT id, s AS safety, CASE WHEN s >= 70 THEN 'safe' WHEN s < 40 THEN 'danger' ELSE 'caution' END AS zone FROM (SELECT id, greatest(0, least(100, 50
         + CASE WHEN complexity IS NULL THEN 0 WHEN complexity < 5 THEN 15 WHEN complexity < 10 THEN 5 WHEN complexity < 20 THEN -10 ELSE -25 END + CASE WHEN out_degree < 3 THEN 10 WHEN out_degree > 10 THEN -10 ELSE 0 END
         + CASE WHEN in_degree = 0 THEN 10 WHEN in_degree > 5 THEN -15 ELSE 0 END + CASE WHEN file_path LIKE '%test%' OR file_path LIKE '%spec%' THEN 20 ELSE 0 END + CASE WHEN file_path LIKE '%util%' OR file_path LIKE '%helper%' THEN 5 ELSE 0 END
         + CASE WHEN file_path LIKE '%config%' THEN -10 ELSE 0 END + CASE WHEN file_path LIKE '%index%' AND len(string_split(file_path, '/')) <= 2 THEN -15 ELSE 0 END
         + CASE WHEN line_count IS NULL THEN 0 WHEN line_count < 100 THEN 10 WHEN line_count > 500 THEN -10 ELSE 0 END))::BIGINT AS s FROM files_ JOIN deg_ USING (id))"""),
-    "p10_standup_risk": sql(DEG + """ SELECT * FROM (SELECT id, least(100, CASE WHEN complexity > 20 THEN 40 WHEN complexity > 15 THEN 25 WHEN complexity > 10 THEN 10 ELSE 0 END + CASE WHEN in_degree > 10 THEN 30 WHEN in_degree > 5 THEN 15 ELSE 0 END
+    "pf10_standup_risk": sql(DEG + """ SELECT * FROM (SELECT id, least(100, CASE WHEN complexity > 20 THEN 40 WHEN complexity > 15 THEN 25 WHEN complexity > 10 THEN 10 ELSE 0 END + CASE WHEN in_degree > 10 THEN 30 WHEN in_degree > 5 THEN 15 ELSE 0 END
         + CASE WHEN line_count > 500 THEN 15 ELSE 0 END + CASE WHEN file_path LIKE '%index%' AND len(string_split(file_path, '/')) <= 2 THEN 20 ELSE 0 END)::BIGINT AS risk FROM files_ JOIN deg_ USING (id)) WHERE risk > 0"""),
-    "p14_edit_warnings": sql(DIRECT + f""", f AS (SELECT id, modified_us, modification_count, len(list_distinct(list_filter(coalesce(contributors, []), lambda x: trim(x) <> ''))) AS owners, (SELECT max(complexity) FROM nodes_ m WHERE m.file_path = files_.id) AS top, dependents FROM files_ LEFT JOIN direct_ USING (id))
+    "pf14_edit_warnings": sql(DIRECT + f""", f AS (SELECT id, modified_us, modification_count, len(list_distinct(list_filter(coalesce(contributors, []), lambda x: trim(x) <> ''))) AS owners, (SELECT max(complexity) FROM nodes_ m WHERE m.file_path = files_.id) AS top, dependents FROM files_ LEFT JOIN direct_ USING (id))
         SELECT id, 'complex' AS warning FROM f WHERE top >= 15 UNION ALL SELECT id, 'depended_on' FROM f WHERE dependents >= 5 UNION ALL SELECT id, 'single_owner' FROM f WHERE owners = 1
         UNION ALL SELECT id, 'stale' FROM f WHERE ({AS_OF_US} - modified_us) // 86400000000 > 180 UNION ALL SELECT id, 'churning' FROM f WHERE modification_count > 30"""),
     "a25_drift": sql(DRIFT + " SELECT * FROM drift_"),
@@ -520,13 +520,13 @@ SQL = {
     "a22_architecture": sql(""", p AS (SELECT *, string_split(file_path, '/') AS parts FROM nodes_), x AS (SELECT *, unnest(range(0, len(parts))) AS i FROM p)
         SELECT CASE WHEN i = 0 THEN '.' ELSE array_to_string(parts[1:i], '/') END AS directory, count(*) FILTER (node_type = 'file') AS files, coalesce(sum(line_end) FILTER (node_type = 'file'), 0)::BIGINT AS lines,
         count(*) FILTER (node_type <> 'file') AS symbols, max(coalesce(complexity, 0))::BIGINT AS max_complexity FROM x GROUP BY 1 HAVING count(*) FILTER (node_type = 'file') > 0"""),
-    "p25_diagram": sql("SELECT source, target, count(*) AS imports FROM (SELECT array_to_string(string_split(src, '/')[1:3], '/') AS source, array_to_string(string_split(dst, '/')[1:3], '/') AS target FROM file_imports_) WHERE source <> target GROUP BY 1, 2"),
+    "pf25_diagram": sql("SELECT source, target, count(*) AS imports FROM (SELECT array_to_string(string_split(src, '/')[1:3], '/') AS source, array_to_string(string_split(dst, '/')[1:3], '/') AS target FROM file_imports_) WHERE source <> target GROUP BY 1, 2"),
     "s22_diagram_text": sql("""SELECT DISTINCT '  "' || source || '" --> "' || target || '"' AS line FROM (SELECT array_to_string(string_split(src, '/')[1:3], '/') AS source, array_to_string(string_split(dst, '/')[1:3], '/') AS target FROM file_imports_) WHERE source <> target"""),
-    "p24_tour": sql(DEG + f""", d AS (SELECT *, {DIR_SQL.format('file_path')} AS folder, regexp_extract(file_path, '[^/]*$') AS base FROM files_ JOIN deg_ USING (id))
+    "pf24_tour": sql(DEG + f""", d AS (SELECT *, {DIR_SQL.format('file_path')} AS folder, regexp_extract(file_path, '[^/]*$') AS base FROM files_ JOIN deg_ USING (id))
         SELECT id, 'entry' AS stop FROM d WHERE regexp_matches(base, '^(index|main|app|server|cli)\\.(ts|tsx|js|jsx)$') UNION ALL SELECT id, 'config' FROM d WHERE file_path LIKE '%/config/%'
         UNION ALL SELECT * FROM (SELECT id, 'hotspot' FROM d WHERE complexity > 15 ORDER BY complexity DESC, ord, id LIMIT 3) UNION ALL SELECT * FROM (SELECT id, 'core' FROM d WHERE in_degree > 0 ORDER BY in_degree DESC, ord, id LIMIT 4)
         UNION ALL SELECT id, 'folder' FROM (SELECT id, row_number() OVER (PARTITION BY folder ORDER BY coalesce(complexity, 0) DESC, id) AS rn, count(*) OVER (PARTITION BY folder) AS k FROM d) WHERE k >= 2 AND rn <= 3"""),
-    "p26_confession": sql(USED + DIRECT + f""" SELECT id, coalesce(symbols, 0) AS symbols, coalesce(functions, 0) AS functions, coalesce(dependents, 0) AS importers, coalesce(unused, 0) AS unused_exports, coalesce(({AS_OF_US} - modified_us) // 86400000000, -1)::BIGINT AS days FROM files_
+    "pf26_confession": sql(USED + DIRECT + f""" SELECT id, coalesce(symbols, 0) AS symbols, coalesce(functions, 0) AS functions, coalesce(dependents, 0) AS importers, coalesce(unused, 0) AS unused_exports, coalesce(({AS_OF_US} - modified_us) // 86400000000, -1)::BIGINT AS days FROM files_
         LEFT JOIN (SELECT file_path AS id, count(*) AS symbols, count(*) FILTER (node_type = 'function') AS functions FROM symbols_ GROUP BY 1) USING (id) LEFT JOIN direct_ USING (id) LEFT JOIN (SELECT file_path AS id, count(*) AS unused FROM dead_ GROUP BY 1) USING (id)"""),
     "a21_summary": sql(f""", b AS (SELECT split_part(file_path, '/', 1) AS repo, count(*) FILTER (node_type = 'file') AS files, count(*) FILTER (node_type = 'function') AS functions, count(*) FILTER (node_type = 'class') AS classes,
         floor(avg(complexity) FILTER (node_type <> 'file') * 100 + 0.5) / 100 AS average, max(complexity)::BIGINT AS maximum FROM nodes_ GROUP BY 1),

@@ -475,12 +475,12 @@ def _q(f, *a, **k):
 
 
 QUERIES = {
-    "s9_commit_scan": _q(commit_scan, 200, 365, True), "s10_commit_files": _q(commit_file_scan), "s13_repo_stats": _q(repo_stats), "a3_file_history": _q(file_history), "a4_churn": _q(churn), "p8_hot_files": _q(hot_files),
-    "p7_churn_scores": _q(churn_scores), "p6_estimated_history": _q(estimated_history), "a5_ownership": _q(ownership), "a7_overall_bus_factor": _q(overall_bus_factor), "a8_ownership_distribution": _q(ownership_distribution),
+    "s9_commit_scan": _q(commit_scan, 200, 365, True), "s10_commit_files": _q(commit_file_scan), "s13_repo_stats": _q(repo_stats), "a3_file_history": _q(file_history), "a4_churn": _q(churn), "pf8_hot_files": _q(hot_files),
+    "pf7_churn_scores": _q(churn_scores), "pf6_estimated_history": _q(estimated_history), "a5_ownership": _q(ownership), "a7_overall_bus_factor": _q(overall_bus_factor), "a8_ownership_distribution": _q(ownership_distribution),
     "a9_directory_knowledge": _q(directory_knowledge), "a10_area_bus_factors": _q(area_bus_factors), "a11_bus_factor_summary": _q(bus_factor_summary), "a12_knowledge_map": _q(knowledge_map), "a13_experts": _q(experts_of_files),
     "j17_related_experts": _q(related_experts), "a14_reviewers": _q(reviewers), "a15_leaderboard": _q(leaderboard), "a15_leaders": _q(leaders), "a16_habits": _q(habits), "a16_awards": _q(awards), "a18_streaks": _q(streaks), "a17_wrapped": _q(wrapped),
     "a17_wrapped_top": _q(wrapped_top), "a19_origin": _q(origin), "a19_milestones": _q(milestones), "a20_morning": _q(morning), "a20_week_hot_files": _q(week_hot_files), "a28_departed": _q(departed), "a28_obituaries": _q(obituaries),
-    "a27_archaeology": _q(archaeology), "a27_phases": _q(evolution_phases), "p18_changelog": _q(changelog), "a26_changelog_stats": _q(changelog_stats), "j13_recoveries": _q(recoveries), "j14_releases": _q(releases), "j14_lead_times": _q(lead_times), "a23_delivery": _q(delivery),
+    "a27_archaeology": _q(archaeology), "a27_phases": _q(evolution_phases), "pf18_changelog": _q(changelog), "a26_changelog_stats": _q(changelog_stats), "j13_recoveries": _q(recoveries), "j14_releases": _q(releases), "j14_lead_times": _q(lead_times), "a23_delivery": _q(delivery),
 }
 
 SRC = r"regexp_matches(file_path, '\.(ts|tsx|js|jsx)$')"
@@ -529,10 +529,10 @@ SQL = {
         x AS (SELECT file_path, string_agg(substr(hash, 1, 7), ' ' ORDER BY at_us DESC, hash) AS recent FROM {_newest('changes_', 'file_path', 10)} GROUP BY 1)
         SELECT file_path, sum(k)::BIGINT AS commits, count(*) AS contributors, max(author) FILTER (rn = 1) AS main_author, any_value(recent) AS recent FROM p JOIN x USING (file_path) GROUP BY 1"""),
     "a4_churn": sql(f"SELECT file_path, count(*) AS commits, max(at_us) AS last_us, count(DISTINCT author) AS authors FROM changes_ WHERE {SRC} AND at_us >= {AS_OF_US - 365 * DAY_US} GROUP BY 1"),
-    "p8_hot_files": sql("SELECT file_path, count(*) AS commits FROM commit_files_ GROUP BY 1 HAVING count(*) >= 10"),
-    "p7_churn_scores": sql(f"""SELECT file_path, floor((0.4::DOUBLE * least(c / 50.0::DOUBLE, 1.0) + 0.3::DOUBLE * least(k / 5.0::DOUBLE, 1.0) + 0.3::DOUBLE * greatest(0.0, 1 - d / 180.0::DOUBLE)) * 10000 + 0.5) / 10000 AS score FROM (
+    "pf8_hot_files": sql("SELECT file_path, count(*) AS commits FROM commit_files_ GROUP BY 1 HAVING count(*) >= 10"),
+    "pf7_churn_scores": sql(f"""SELECT file_path, floor((0.4::DOUBLE * least(c / 50.0::DOUBLE, 1.0) + 0.3::DOUBLE * least(k / 5.0::DOUBLE, 1.0) + 0.3::DOUBLE * greatest(0.0, 1 - d / 180.0::DOUBLE)) * 10000 + 0.5) / 10000 AS score FROM (
         SELECT file_path, count(*) AS c, count(DISTINCT author) AS k, ({AS_OF_US} - max(at_us)) // 86400000000 AS d FROM changes_ GROUP BY 1)"""),
-    "p6_estimated_history": sql("""SELECT id, contributor, i AS place, greatest(1, floor(coalesce(modification_count, 0)::DOUBLE / (i + 1) + 0.5))::BIGINT AS commits, floor(100.0::DOUBLE / (i + 1) + 0.5)::BIGINT AS share
+    "pf6_estimated_history": sql("""SELECT id, contributor, i AS place, greatest(1, floor(coalesce(modification_count, 0)::DOUBLE / (i + 1) + 0.5))::BIGINT AS commits, floor(100.0::DOUBLE / (i + 1) + 0.5)::BIGINT AS share
         FROM (SELECT id, modification_count, unnest(contributors) AS contributor, unnest(range(len(contributors))) AS i FROM files_ WHERE len(contributors) > 0) WHERE contributor IS NOT NULL"""),
     "a5_ownership": sql(OWN + " SELECT * FROM own_"),
     "a7_overall_bus_factor": sql(OWN + " SELECT coalesce(floor(sum(w * bus_factor) / sum(w) * 10 + 0.5) / 10, 0) AS bus_factor, count(*) AS files FROM (SELECT bus_factor, CASE risk WHEN 'critical' THEN 2.0 WHEN 'high' THEN 1.5 ELSE 1.0 END::DOUBLE AS w FROM own_)"),
@@ -570,7 +570,7 @@ SQL = {
     "a27_archaeology": sql(f""", c AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY at_us, hash DESC) AS rn FROM {_newest('changes_', 'file_path', 100)}),
         g AS (SELECT file_path, count(*) AS commits, count(*) FILTER (added + removed > 50 AND removed > added / 2 AND rn > 1) AS rewrites, count(*) FILTER (added > 2 * removed) AS grow, count(*) FILTER (removed > 2 * added) AS shrink, (({AS_OF_US} - min(at_us)) // 86400000000)::BIGINT AS age FROM c GROUP BY 1)
         SELECT file_path, commits, rewrites, age, CASE WHEN grow >= 0.4 * commits THEN 'growing' WHEN shrink >= 0.4 * commits THEN 'shrinking' WHEN grow + shrink <= 0.2 * commits THEN 'steady' ELSE 'mixed' END AS growth, floor(commits / greatest(1.0, age / 30.0::DOUBLE) * 10 + 0.5) / 10 AS volatility FROM g"""),
-    "p18_changelog": sql(LOG + " SELECT hash, section, scope, breaking, description FROM lg_"),
+    "pf18_changelog": sql(LOG + " SELECT hash, section, scope, breaking, description FROM lg_"),
     "a26_changelog_stats": sql(LOG + " SELECT section, count(*) AS commits, count(*) FILTER (breaking) AS breaking, count(DISTINCT author) AS contributors, min(at_us) AS from_us, max(at_us) AS to_us FROM lg_ GROUP BY 1"),
     "j13_recoveries": sql(REC + " SELECT * FROM rec_"),
     "j14_releases": sql(REL + " SELECT repo, tag, at_us, coalesce(previous_us, -1) AS previous_us FROM rel_"),

@@ -187,7 +187,7 @@ def _q(f, *a, **k):
 
 QUERIES = {
     "w2_hotspots": _q(hotspots), "w1_percentiles": _q(file_hotspots), "w2_summary": _q(hotspot_summary), "w2_quadrants": _q(quadrants), "r10_snapshots": _q(snapshots), "w7_differences": _q(differences), "w3_regression": _q(regression),
-    "w4_trajectory": _q(trajectory), "w5_velocity": _q(velocity), "w6_period_trends": _q(period_trends), "w12_health_history": _q(health_history), "a24_debt": _q(debt), "a29_overview": _q(overview), "p21_moods": _q(moods),
+    "w4_trajectory": _q(trajectory), "w5_velocity": _q(velocity), "w6_period_trends": _q(period_trends), "w12_health_history": _q(health_history), "a24_debt": _q(debt), "a29_overview": _q(overview), "pf21_moods": _q(moods),
 }
 
 HOT = f""", hc_ AS (SELECT file_path, count(*) AS k FROM changes_ WHERE regexp_matches(file_path, '\\.(ts|tsx|js|jsx)$') AND at_us >= {AS_OF_US - 52 * 7 * DAY_US} GROUP BY 1), hf_ AS (SELECT file_path, coalesce(complexity, 0) AS c, coalesce(k, 0) AS k FROM files_ LEFT JOIN hc_ USING (file_path)),
@@ -225,6 +225,6 @@ SQL = {
     "a29_overview": sql(HOT + OWN + USED + DRIFT + """, o AS (SELECT (SELECT floor(avg(complexity) * 100 + 0.5) / 100 FROM symbols_) AS average, (SELECT count(*) FROM top_ WHERE priority = 'critical') AS critical, (SELECT count(*) FROM top_ WHERE priority = 'high') AS high,
         (SELECT floor(avg(bus_factor) * 10 + 0.5) / 10 FROM own_) AS bus_factor, (SELECT count(*) FROM drift_) AS violations, (SELECT count(*) FROM dead_) AS dead_exports), p AS (SELECT *, greatest(0.0, 100 - 5 * average) AS health FROM o)
         SELECT *, CASE WHEN health >= 80 THEN 'healthy' WHEN health >= 60 THEN 'fair' ELSE 'poor' END AS label, CASE WHEN bus_factor >= 3 THEN 'good' WHEN bus_factor >= 2 THEN 'fair' ELSE 'risky' END AS ownership FROM p"""),
-    "p21_moods": sql("""SELECT directory, CASE WHEN h > 90 THEN 'happy' WHEN h > 70 THEN 'content' WHEN h > 50 THEN 'worried' ELSE 'grumpy' END AS mood, floor(CASE WHEN h > 50 THEN (h - 50) / 50 ELSE (50 - h) / 50 END * 100 + 0.5) / 100 AS intensity FROM (
+    "pf21_moods": sql("""SELECT directory, CASE WHEN h > 90 THEN 'happy' WHEN h > 70 THEN 'content' WHEN h > 50 THEN 'worried' ELSE 'grumpy' END AS mood, floor(CASE WHEN h > 50 THEN (h - 50) / 50 ELSE (50 - h) / 50 END * 100 + 0.5) / 100 AS intensity FROM (
         SELECT CASE WHEN instr(file_path, '/') > 0 THEN regexp_replace(file_path, '/[^/]*$', '') ELSE '.' END AS directory, greatest(0.0::DOUBLE, 100 - 5 * (floor(avg(complexity) * 100 + 0.5) / 100)) AS h FROM files_ WHERE complexity IS NOT NULL GROUP BY 1)"""),
 }
