@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import permutations
+from itertools import combinations, islice, permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,8 +47,6 @@ ROLES = frozenset("noreply no-reply builds build ci bot bots dev devs team dev-t
 
 #: Names of which one shard may hold before it is divided further.
 SHARD = 2000
-#: Persons seen with one mail up to which their names are compared one by one; a mail of more is a shared one.
-COMPARED = 8
 
 
 def fold(s: str) -> str:
@@ -318,35 +316,92 @@ def _handle_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(c, h) for c, k in zip(f.component, f.k) for h in handles(k)], columns=["component", "handle"])
 
 
+def blocks(name: str) -> tuple[set[str], set[str]]:
+    """(blocks a name asks in, blocks it stands in). If two names are compatible, one asks where the other stands.
+
+    The shorter of two names that fit has all its tokens matched: so has any one of them, or any two. Tokens that
+    match begin with the same letter, or differ in their first letters only. Initials and joined handles are looked
+    up as they are.
+    """
+
+    def marks(w: str) -> set[str]:
+        return {w[0], *(f"-{w[k:]}" for k in range(3) if len(w) > 2)}
+
+    asks: set[str] = set()
+    stands: set[str] = set()
+    t = tokens(name)
+    if not t:
+        return asks, stands
+    for ws in (t, [w for w in t if len(w) > 1] or t):
+        a = sorted(ws, key=len)[-2:]
+        asks |= marks(a[0]) if len(a) == 1 else {"&".join(sorted((x, y))) for x in marks(a[0]) for y in marks(a[1])}
+        stands |= {x for w in ws for x in marks(w)}
+        stands |= {"&".join(sorted((x, y))) for v, w in combinations(ws, 2) for x in marks(v) for y in marks(w)}
+    joined = "".join(t)
+    asks |= {f"={joined}", *("*" + "".join(sorted(joined)[:k]) for k in range(2, 5) if len(joined) <= 4)}
+    if 2 <= len(t) <= 4:
+        stands |= {"*" + "".join(sorted(w[0] for w in t)), *(f"={h}" for h in handles(" ".join(t)))}
+    return asks, stands
+
+
+class Blocks:
+    """Names in groups; a name is compared with those of its blocks only, which loses none that fits."""
+
+    def __init__(self) -> None:
+        self.groups: list[list[str]] = []
+        self.asked: dict[str, list[tuple[int, str]]] = {}
+        self.stood: dict[str, list[tuple[int, str]]] = {}
+
+    def fitting(self, name: str) -> Iterator[int]:
+        """Numbers of the groups that hold a compatible name, rising."""
+        asks, stands = blocks(name)
+        near_by = {x for b in asks for x in self.stood.get(b, ())} | {x for b in stands for x in self.asked.get(b, ())}
+        last = -1
+        for i, x in sorted(near_by):
+            if i > last and compatible(name, x):
+                last = i
+                yield i
+
+    def add(self, name: str) -> None:
+        """To the first group with a compatible name, or to a new one."""
+        i = next(self.fitting(name), len(self.groups))
+        if i == len(self.groups):
+            self.groups.append([])
+        self.groups[i].append(name)
+        asks, stands = blocks(name)
+        for b in asks:
+            self.asked.setdefault(b, []).append((i, name))
+        for b in stands:
+            self.stood.setdefault(b, []).append((i, name))
+
+
 def _mail_groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per mail with few persons: rows get the number of the group of fitting names they belong to."""
+    """Per mail: rows get the number of the group of fitting names they belong to.
+
+    The only group of a mail has the number 0, as the mail's rows without a name have; several count from 1.
+    """
     for f in frames:
         out = []
         for mail, people in zip(f.email, f.people):
-            groups: list[list[str]] = []
             full = sorted(p["sample"] for p in people if p["full"]) or sorted((p["sample"] for p in people), key=lambda x: (-len(x), x))
             some = any(p["full"] for p in people)
+            known = Blocks()
             for s in full:
-                for g in groups:
-                    if any(compatible(s, x) for x in g):
-                        g.append(s)
-                        break
-                else:
-                    groups.append([s])
-            single = {s: i for i, g in enumerate(groups) for s in g}
+                known.add(s)
+            groups = known.groups
+            first = int(len(groups) > 1)
+            single = {s: first + i for i, g in enumerate(groups) for s in g}
             for p in people:
                 if p["full"] or not some:
                     out.append((mail, p["who"], single[p["sample"]]))
-                elif len(groups) <= 1:
+                    continue
+                fit = list(islice(known.fitting(p["sample"]), 2))
+                if len(groups) <= 1:
                     # a mail of one person only: short forms are theirs if they can be
-                    if any(compatible(p["sample"], x) for x in groups[0]) or len(tokens(p["sample"])) == 0:
-                        out.append((mail, p["who"], 0))
-                    elif len("".join(tokens(p["sample"]))) <= 3:
+                    if fit or len("".join(tokens(p["sample"]))) <= 3:
                         out.append((mail, p["who"], 0))
-                else:
-                    fit = [i for i, g in enumerate(groups) if any(compatible(p["sample"], x) for x in g)]
-                    if len(fit) == 1:
-                        out.append((mail, p["who"], fit[0]))
+                elif len(fit) == 1:
+                    out.append((mail, p["who"], first + fit[0]))
         yield pd.DataFrame(out, columns=["email", "who", "grp"])
 
 
@@ -371,10 +426,8 @@ def entities(mentions: DataFrame) -> DataFrame:
         .select("email", F.coalesce(F.concat(F.lit("K"), "who"), F.concat(F.lit("W"), "row")).alias("who"), F.col("who").isNotNull().alias("full"), "name", "row")
     )
     person = seen.groupBy("email", "who", "full").agg(F.min("name").alias("sample"))
-    count = person.groupBy("email").agg(F.sum(F.col("full").cast("int")).alias("n"), F.count("*").alias("all"))
-    few = person.join(count.where((F.col("n") <= COMPARED) & (F.col("all") <= 50 * COMPARED)).select("email"), "email", "left_semi")
     groups = (
-        few.groupBy("email").agg(F.collect_list(F.struct("who", "full", "sample")).alias("people")).mapInPandas(_mail_groups, "email string, who string, grp int")
+        person.groupBy("email").agg(F.collect_list(F.struct("who", "full", "sample")).alias("people")).mapInPandas(_mail_groups, "email string, who string, grp int")
     )
     by_mail = seen.join(groups, ["email", "who"]).select(F.concat(F.lit("R"), "row").alias("a"), F.concat_ws("\x01", F.lit("M"), "email", F.col("grp").cast("string")).alias("b"))
     r = F.concat(F.lit("R"), "row").alias("a")

@@ -1,6 +1,6 @@
 import random
 
-from evograph.llm.names import compatible, entities, entity_pairs, expert_entities, key, mail_key, near, neighbours, shards, similar_keys, trie
+from evograph.llm.names import Blocks, compatible, entities, entity_pairs, expert_entities, key, mail_key, near, neighbours, shards, similar_keys, trie
 
 
 def words(rng, n, letters="abc", least=3, most=9):
@@ -68,3 +68,32 @@ def test_people(spark):
     nodes = spark.createDataFrame([(["Rosa Sekofelar", None, ""],), (None,), ([],)], "contributors array<string>")
     assert {(r.expert_id_a, r.expert_id_b) for r in entity_pairs(expert_entities(df, commits, nodes)).collect()} == got
     assert entities(df.limit(0)).count() == 0 and expert_entities(df.limit(0)).count() == 0
+
+
+def test_blocks_lose_no_fitting_name():
+    rng = random.Random(5)
+    first, last = words(rng, 12, "abcd", 3, 6), words(rng, 12, "abcd", 5, 8)
+    names = [f"{a} {b}" for a, b in zip(first * 3, last * 2 + last[::-1])]
+    for n in list(names):
+        a, b = n.split()
+        names += [f"{a[0]}. {b}", f"{b} {a[0]}", a[0] + b[0], b + a[0], a + b, a, b[:4], f"{a} x {b}", f"{a} {b[1] + b[0] + b[2:]}", f"{a} z{b[1:]}", f"{a} {b[1:]}", f"{b} z{a}"]
+    names = sorted(set(names))
+    known = Blocks()
+    groups: list[list[str]] = []
+    for s in names:
+        known.add(s)
+        at = next((g for g in groups if any(compatible(s, x) for x in g)), None)
+        if at is None:
+            groups.append(at := [])
+        at.append(s)
+    assert known.groups == groups and len(groups) > 8
+    for s in names:
+        assert list(known.fitting(s)) == [i for i, g in enumerate(groups) if any(compatible(s, x) for x in g)]
+
+
+def test_crowded_mail(spark):
+    people = ["Olivia Nikideta", "Rosa Sekofelar", "Bakari Umbovelo", "Tarik Gelomura", "Wanda Pirusako", "Hugo Zefilano", "Yara Domikule", "Femke Lurasito", "Carla Vonetiga", "Ilmar Jokurase", "Quirin Tamolefe", "Silke Xanoruvi"]
+    rows = [(i, name, "noreply@ci.example") for i, name in enumerate(people)] + [(100 + i, f"{n.split()[0][0]}. {n.split()[1]}", "noreply@ci.example") for i, n in enumerate(people)]
+    rows += [(200 + i, f"Zz{i}", "noreply@ci.example") for i in range(450)] + [(900, None, "noreply@ci.example")]
+    got = {(r.expert_id_a, r.expert_id_b) for r in entity_pairs(expert_entities(spark.createDataFrame(rows, "expert_id long, name string, email string"))).collect()}
+    assert got == {(i, 100 + i) for i in range(len(people))}
