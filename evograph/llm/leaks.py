@@ -88,17 +88,22 @@ class Tables:
             p += 1
 
 
-def extend(a: list[str], b: list[str], i: int, j: int, step: int) -> tuple[int, int, int, int]:
-    """From places i, j on in one direction: (words of a passed, words of b passed, equal, changed or added), best prefix."""
-    best = (0, 0, 0, 0)
-    top = score = same = edits = 0
+#: Run of equal words: from, to in the item, from, to in the text, changed or added words before it in its stretch.
+Run = tuple[int, int, int, int, int]
+
+
+def extend(a: list[str], b: list[str], i: int, j: int, step: int) -> list[tuple[int, int, int]]:
+    """From places i, j on in one direction: (place in a, place in b, words changed or added so far) of each equal word of the best prefix."""
+    out = []
+    top = score = edits = best = 0
     x, y = i, j
     inside = lambda u, v: 0 <= u < len(a) and 0 <= v < len(b)
     while inside(x, y):
         if a[x] == b[y]:
-            x, y, same, score = x + step, y + step, same + 1, score + 1
+            out.append((x, y, edits))
+            x, y, score = x + step, y + step, score + 1
             if score > top:
-                top, best = score, ((x - i) * step, (y - j) * step, same, edits)
+                top, best = score, len(out)
             continue
         # the cheapest way back to two equal words in a row, or to one at an end
         for da, db in ((1, 1), (0, 1), (1, 0), (2, 2), (1, 2), (2, 1), (0, 2), (2, 0), (3, 3)):
@@ -111,35 +116,78 @@ def extend(a: list[str], b: list[str], i: int, j: int, step: int) -> tuple[int,
         x, y, edits, score = u, v, edits + cost, score - 3 * cost
         if score < top - 8:
             break
-    return best
+    return out[:best]
 
 
-def stretches(item: list[str], text: list[str], seeds: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """Maximal stretches (item from, to, text from, to, changed words) around confirmed runs."""
-    out: list[tuple[int, int, int, int, int]] = []
+def stretches(item: list[str], text: list[str], seeds: list[tuple[int, int]]) -> list[list[Run]]:
+    """Maximal stretches around confirmed runs, each as its runs of equal words."""
+    out: list[list[Run]] = []
+    covered: set[tuple[int, int]] = set()
     for i, j in sorted(seeds, key=lambda s: (s[1], s[0])):
-        if any(a <= i < b and c <= j < d and abs((i - a) - (j - c)) <= 1 + e for a, b, c, d, e in out):
+        if (i, j) in covered:
             continue
-        ra, rb, _, re_ = extend(item, text, i, j, 1)
-        la, lb, _, le = extend(item, text, i - 1, j - 1, -1)
-        out.append((i - la, i + ra, j - lb, j + rb, re_ + le))
+        left = [(x, y, -e) for x, y, e in extend(item, text, i - 1, j - 1, -1)]
+        path = left[::-1] + extend(item, text, i, j, 1)
+        covered.update((x, y) for x, y, _ in path)
+        runs: list[Run] = []
+        for n, (x, y, e) in enumerate(path):
+            if n and (x, y) == (path[n - 1][0] + 1, path[n - 1][1] + 1):
+                runs[-1] = (runs[-1][0], x + 1, runs[-1][2], y + 1, runs[-1][4])
+            else:
+                runs.append((x, x + 1, y, y + 1, e - path[n - 1][2] if n else 0))
+        out.append(runs)
     return out
 
 
+def parts(runs: list[Run]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(item from, to, text from, to, changed words) of the parts of a stretch that keep to the rate of changes.
+
+    The whole stretch is one of them. A part begins and ends with a run and holds a pattern; words beyond a change
+    count if they are more than three for each change. A sentence of the same pattern with other names in it has more changes than the rate.
+    """
+    for n, (i, _, j, _, _) in enumerate(runs):
+        edits = longest = score = top = 0
+        for start, to, _, end, e in runs[n:]:
+            if score or top:
+                edits, score = edits + e, score - 3 * e
+                if score <= 0 and n:
+                    break
+            longest, score = max(longest, to - start), score + to - start
+            if score > top or n == 0 and to == runs[-1][1]:
+                top = max(top, score)
+                if longest >= PATTERN and edits * EIGHTH <= max(to - i, EIGHTH if to - i < 10 else 0):
+                    yield i, to, j, end, edits
+
+
 def held(item: list[str], text: list[str], seeds: list[tuple[int, int]]) -> tuple[int, int]:
     """(words of the item that a text holds in one or two stretches, changed or added ones among them)."""
-    # a sentence of the same pattern with other names in it has more changes than that
-    ss = [s for s in stretches(item, text, seeds) if s[4] * EIGHTH <= max(s[1] - s[0], EIGHTH if s[1] - s[0] < 10 else 0)]
-    best = (0, 0)
-    for s in ss:
-        best = max(best, (s[1] - s[0], -s[4]))
-    ss = sorted(sorted(ss, key=lambda s: s[0] - s[1])[:60], key=lambda s: s[2])
-    for n, s in enumerate(ss):
-        for t in ss[n + 1 :]:
-            # in the item's order, one going on about where the other ends, or both long
-            gap = t[0] - s[1]
-            if gap >= -2 and t[2] >= s[3] - 2 and (gap <= 3 or min(s[1] - s[0], t[1] - t[0]) >= 9):
-                best = max(best, (t[1] - s[0] - max(gap, 0), -s[4] - t[4]))
+    ss = list({p for runs in stretches(item, text, seeds) for p in parts(runs)})
+    best = max(((b - a, -e) for a, b, _, _, e in ss if e * EIGHTH <= b - a), default=(0, 0))
+    # two stretches in the item's order: a sweep over the text, with the best stretch so far that ends at or before
+    # each place of the item, by what it leaves over of the rate of changes (more than `most` is never needed)
+    least, most = -EIGHTH, EIGHTH + 2
+    none = (-1, 0)
+    until = {r: [none] * (len(item) + 1) for r in range(least, most + 1)}
+    exact = {r: [none] * (len(item) + 1) for r in until}
+    ended = sorted(ss, key=lambda s: s[3])
+    k = 0
+    for a, b, c, _, e in sorted(ss, key=lambda s: s[2]):
+        while k < len(ended) and ended[k][3] <= c + 2:
+            x, y, _, _, f = ended[k]
+            k += 1
+            v, r = (y - x, -f), min(y - x - f * EIGHTH, most)
+            exact[r][y] = max(exact[r][y], v)
+            for z in range(y, len(item) + 1):
+                if until[r][z] >= v:
+                    break
+                until[r][z] = v
+        # words that both hold count once
+        for shared in (0, 1, 2):
+            rest = b - a - e * EIGHTH - shared
+            for r in range(max(least, -rest), most + 1):
+                n, f = until[r][a] if not shared else exact[r][a + shared] if a + shared <= len(item) else none
+                if n > shared and b - a > shared:
+                    best = max(best, (b - a + n - shared, f - e))
     return best[0], -best[1]
 
 

@@ -1,6 +1,6 @@
 import random
 
-from evograph.llm.leaks import Tables, document_leaks, item_words, leaks, words
+from evograph.llm.leaks import Tables, document_leaks, held, item_words, leaks, parts, stretches, words
 
 RNG = random.Random(7)
 VOCAB = [a + b for a in ("ka", "lo", "mi", "ne", "ru", "sa", "to", "vi") for b in ("bar", "den", "fil", "gos", "hem", "jup", "kar", "lom", "mun", "nop")]
@@ -58,3 +58,43 @@ def test_table(spark):
     items = spark.createDataFrame(ITEMS + [ITEMS[0], (900, None, None), (901, "short", "one")], "item_id long, question string, answer string").selectExpr("*", "3 AS doc_id")
     assert {(r.doc_id, r.item_id) for r in leaks(d, items).collect()} == want
     assert leaks(d.limit(0), items).count() == 0 and leaks(d, items.limit(0)).count() == 0
+
+
+def found(item, text):
+    t = Tables({1: item})
+    return {x[0]: x[1:] for x in document_leaks(t, " ".join(text))}
+
+
+def test_the_part_within_the_rate_counts():
+    item = [f"w{n}" for n in range(100)]
+    noisy = [w if n % 5 else f"other{n}" for n, w in enumerate(item)]
+    assert found(item, item[:24] + noisy[24:])[1][0] >= 24 and found(item, noisy[:70] + item[70:])[1][0] >= 24
+    assert found(item, noisy) == {}
+
+
+def test_any_two_stretches_count():
+    item = [f"w{n}" for n in range(60)]
+    other = [f"x{n}" for n in range(30)]
+    assert found(item, item[:8] + other + item[13:27]) == {1: (22, 0)}
+    assert found(item, item[13:27] + other + item[:8]) == {} and found(item, item[:8] + other + item[13:24]) == {}
+    # the pair that counts is behind many longer stretches that don't go together
+    texts = [w for n in range(70) for w in [*item[30:42], f"a{n}", f"b{n}", f"c{n}", f"d{n}"]]
+    assert found(item, item[:11] + other + item[15:26])[1] == (22, 0)
+    assert found(item, texts) == {} and found(item, texts + item[:11] + other + item[15:26])[1] == (22, 0)
+
+
+def test_pairs_are_brute_force():
+    rng = random.Random(9)
+    for _ in range(200):
+        item = [rng.choice("abcdefghijkl") + rng.choice("xyz") for _ in range(50)]
+        text = []
+        for _ in range(6):
+            a, k = rng.randrange(46), rng.randint(4, 14)
+            text += [w if rng.random() < 0.93 else "-" for w in item[a : a + k]] + ["?" * rng.randint(1, 9)] * 5
+        seeds = [(i, j) for i in range(len(item) - 3) for j in range(len(text) - 3) if item[i : i + 4] == text[j : j + 4]]
+        ss = [p for s in stretches(item, text, seeds) for p in parts(s)]
+        one = [(b - a, -e) for a, b, _, _, e in ss]
+        two = [(b - a + y - x - max(b - x, 0), -e - f) for a, b, _, d, e in ss for x, y, c, _, f in ss if c >= d - 2 and x >= b - 2 and (a, y) != (x, b)]
+        want = max(((n, e) for n, e in one + two if -e * 8 <= n), default=(0, 0))
+        n, e = held(item, text, seeds)
+        assert (n, -e) == want
