@@ -44,7 +44,7 @@ LIMITS = {"ts": Limits(mean_line=160), "tsx": Limits(mean_line=200), "js": Limit
 
 # Phrases of generators' banners, in the languages they are met in.
 GENERATED = (
-    r"@generated\b|\bauto[- ]?generated\b|\bautomatically (?:generated|produced|created|written)|\bcode generated by\b|\bgenerated (?:code|file)\b|\bdo not (?:edit|modify|change)\b"
+    r"@generated\b|\bauto[- ]?generated\b|\bautomatically (?:generated|produced|created|written)|\bcode generated by\b|\bgenerated (?:code|file)\b|\bdo not (?:edit|modify|change)\b(?! the licen[cs]e)"
     r"|\bmachine generated\b|\bchanges will be (?:lost|overwritten)|\bautomatisch (?:erzeugt|generiert|erstellt)|\bnicht von hand\b|\bgenerado autom|\bno editar\b|\bg[eé]n[eé]r[eé] autom|\bne pas modifier"
     r"|^\W*source: \S+\.(?:proto|thrift|graphql|avsc|yaml|yml|json|idl|wsdl|xsd)\s*$|\btest snapshot v\d"
 )
@@ -72,6 +72,36 @@ WRAPPED = re.compile(r"(?m)^\s*/\*{3}/|\((?:module|__unused_\w+), (?:exports|__\
 COMPILED = re.compile(r"\"__esModule\"|'__esModule'|\(this && this\.__\w+\)|/\*\* @class \*/|\b__(?:awaiter|generator|extends|decorate)\(|\b_interopRequire\w+\(")
 SNAPSHOT = re.compile(r"(?m)^exports\[`")
 
+#: Ends of block comments by their beginnings.
+BLOCKS = {"/*": "*/", "<!--": "-->"}
+BLOCK = re.compile(r"/\*|<!--|//")
+
+
+def leading_comment(lines: list[str]) -> str:
+    """The comments that a file begins with, to their ends, and those among its first lines; lines are not blank."""
+    out = []
+    end = None
+    for x in lines:
+        rest = x
+        if end is None and not COMMENT.match(x):
+            break
+        out.append(x)
+        # what is open at the end of the line, and whether code follows within it
+        while rest:
+            if end is not None:
+                at = rest.find(end)
+                if at < 0:
+                    break
+                rest, end = rest[at + len(end) :], None
+            m = BLOCK.search(rest)
+            if m is None or rest[: m.start()].strip(" \t>+-\ufeff") or m.group() == "//":
+                break
+            rest, end = rest[m.end() :], BLOCKS[m.group()]
+        if end is None and rest.strip() and not COMMENT.match(rest):
+            break
+    return "\n".join(out + [x for x in lines[len(out) : 8] if COMMENT.match(x)])
+
+
 STATISTICS = (
     "n_lines int, max_line int, mean_line double, space double, alnum double, digits double, numbers double, encoded int, literal int, n_chars int,"
     " repeated double, shapes double, literal_lines int, literal_share double, keywords double, header string, wrapped int, compiled int, snapshots int"
@@ -93,7 +123,7 @@ def layout(text: str | None) -> tuple:
         sum(c.isascii() and c.isalnum() for c in dense) / size, sum(c in "0123456789" for c in dense) / size,
         len(NUMBER.findall(text)) / max(len(WORDS.findall(text)), 1), longest(ENCODED), longest(LITERAL), len(text),
         sum(n for n in shapes.values() if n >= 4) / width, len(shapes) / width, len(data), len("".join("".join(data).split())) / size,
-        len(KEYWORDS.findall(text)) / width, "\n".join(x for x in lines[:8] if COMMENT.match(x)),
+        len(KEYWORDS.findall(text)) / width, leading_comment(lines),
         len(WRAPPED.findall(text)), len(COMPILED.findall(text)), len(SNAPSHOT.findall(text)),
     )
 

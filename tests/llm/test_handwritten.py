@@ -57,3 +57,18 @@ def test_cases_and_decoys(spark):
     assert sorted(named[r.file_id][0] for r in got) == sorted(CASES)
     assert {named[r.file_id][0]: r.reason for r in got}["minified"] == "minified"
     assert not_handwritten(df.limit(0)).count() == 0
+
+
+LICENCE = [f"Line {i} of the terms under which copies of the Software may be used." for i in range(40)]
+
+
+def test_banner_below_a_long_licence(spark):
+    star, bare, slashes = "/*\n" + "".join(f" * {x}\n" for x in LICENCE), "/*\n" + "".join(f"{x}\n\n" for x in LICENCE), "".join(f"// {x}\n" for x in LICENCE)
+    texts = {
+        1: star + " */\n// @generated\n" + HAND, 2: star + " * Copied from pixelmill@1.2.3\n */\n" + HAND, 3: bare + "@generated\n*/\n" + HAND, 4: slashes + "\n// Code generated by pixelmill. DO NOT EDIT.\n" + HAND,
+        5: "<!--\n" + "\n".join(LICENCE) + "\n-->\n<!-- @generated -->\n" + HAND, 6: '"use strict";\n// @generated\n' + HAND,
+        # after the first code a comment is no banner; a licence has phrases of banners
+        11: star + " */\n" + HAND + "// @generated\n" + HAND, 12: bare + "*/ const a = 1;\n" + HAND + "// @generated\n", 13: slashes + "// see src/* for more\n" + HAND + "/* @generated */\n", 14: star + " * The contents of the NOTICE file do not modify the License.\n */\n" + HAND,
+    }
+    df = spark.createDataFrame([(i, "r", "r/src/x.ts", t) for i, t in texts.items()], "file_id long, repo string, file_path string, content string")
+    assert {r.file_id: r.reason for r in not_handwritten(df).collect()} == {1: "generated", 2: "vendored", 3: "generated", 4: "generated", 5: "generated", 6: "generated"}
