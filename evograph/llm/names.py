@@ -250,9 +250,27 @@ def neighbours(root: dict, word: str, k: int = 1) -> Iterator[str]:
                 stack.append((child, tuple(new), row, c))
 
 
-def _orders(k: str) -> list[str]:
+def _orders(k: str) -> set[str]:
+    """Orders of a key's tokens: all of up to four; of more, every two tokens side by side in every place of the rest.
+
+    That is enough for one edit: it changes a token, which moves that alone, or joins or parts two neighbours.
+    """
     t = k.split(" ")
-    return [" ".join(p) for p in permutations(t)] if len(t) <= 3 else [k]
+    if len(t) <= 4:
+        return {" ".join(p) for p in permutations(t)}
+    out = {k}
+    for i, j in permutations(range(len(t)), 2):
+        rest = [w for n, w in enumerate(t) if n not in (i, j)]
+        out |= {" ".join([*rest[:n], t[i], t[j], *rest[n:]]) for n in range(len(rest) + 1)}
+    return out
+
+
+def enough(a: str, b: str, least: int) -> bool:
+    """Whether keys within one edit hold enough to be similar; short ones need an equal token and no changed one of two letters."""
+    if min(len(a), len(b)) >= least:
+        return True
+    x, y = a.split(" "), b.split(" ")
+    return not set(x).isdisjoint(y) and all(len(w) > 2 for w in set(x) ^ set(y))
 
 
 def _shard_rows(level: int):
@@ -264,7 +282,7 @@ def _shard_rows(level: int):
     return f
 
 
-def _join_shard(frame: pd.DataFrame) -> pd.DataFrame:
+def _join_shard(frame: pd.DataFrame, least: int) -> pd.DataFrame:
     owner: dict[str, set[str]] = {}
     for typed, k in zip(frame.typed, frame.k):
         owner.setdefault(typed, set()).add(k)
@@ -273,27 +291,26 @@ def _join_shard(frame: pd.DataFrame) -> pd.DataFrame:
     for k, asks in zip(frame.k, frame.asks):
         if asks:
             for typed in neighbours(root, k):
-                out |= {(min(k, o), max(k, o)) for o in owner[typed] if o != k}
+                out |= {(min(k, o), max(k, o)) for o in owner[typed] if o != k and enough(k, o, least)}
     return pd.DataFrame(sorted(out), columns=["a", "b"])
 
 
 def similar_keys(keys: DataFrame, least: int = 9, shard: int = SHARD) -> DataFrame:
-    """Pairs (a < b) of different keys within one edit of each other in some order of their tokens.
+    """Pairs (a < b) of different keys, one of them within one edit of some order of the other's tokens.
 
-    keys: one column k, distinct. Keys shorter than `least` characters are too short to be similar by chance
-    only, and pair with none. A shard of more than `shard` entries is divided by a second half of the rest,
+    keys: one column k, distinct. Keys shorter than `least` characters are similar by chance more easily, and pair
+    only if a token is equal and the others have three letters at least. A shard of more than `shard` entries is divided by a second half of the rest,
     which loses no pair, so no task holds an unbounded group.
     """
-    long = keys.where(F.length("k") >= least)
     schema = "shard string, typed string, k string, asks boolean"
-    one = long.mapInPandas(_shard_rows(1), schema)
+    one = keys.mapInPandas(_shard_rows(1), schema)
     size = one.groupBy("shard").count().where("count > 1")
     cold = one.join(size.where(F.col("count") <= shard).select("shard"), "shard", "left_semi")
     hot = size.where(F.col("count") > shard).select("shard")
     again = one.join(hot, "shard", "left_semi").select("k").distinct().mapInPandas(_shard_rows(2), schema)
     # few bytes, but much work: a set number of tasks, which isn't coalesced by size
     both = spread(cold.unionByName(again.withColumn("shard", F.concat(F.lit("2"), "shard"))), "shard")
-    pairs = both.groupBy("shard").applyInPandas(_join_shard, "a string, b string")
+    pairs = both.groupBy("shard").applyInPandas(lambda frame: _join_shard(frame, least), "a string, b string")
     return pairs.distinct()
 
 

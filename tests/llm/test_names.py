@@ -97,3 +97,31 @@ def test_crowded_mail(spark):
     rows += [(200 + i, f"Zz{i}", "noreply@ci.example") for i in range(450)] + [(900, None, "noreply@ci.example")]
     got = {(r.expert_id_a, r.expert_id_b) for r in entity_pairs(expert_entities(spark.createDataFrame(rows, "expert_id long, name string, email string"))).collect()}
     assert got == {(i, 100 + i) for i in range(len(people))}
+
+
+def test_short_keys_and_many_tokens(spark):
+    rng = random.Random(6)
+    base = [" ".join(sorted(words(rng, n, "abcdefghijklmnop", 3, 7))) for n in (4, 4, 4, 5, 5, 6) for _ in range(8)]
+    want = set()
+    for k in base:
+        t = k.split(" ")
+        p = rng.randrange(len(t))
+        for w in ("z" + t[p][1:], "z" + t[p], t[p][1:], t[p][1] + t[p][0] + t[p][2:]):
+            other = " ".join(sorted([*t[:p], w, *t[p + 1 :]]))
+            want |= {(min(k, other), max(k, other))} if other != k else set()
+        joined = " ".join(sorted([*t[2:], t[1] + t[0]]))
+        want.add((min(k, joined), max(k, joined)))
+    short = {("sumo wei", "sumo wie"), ("ada kern", "ada zern"), ("jo lang", "jo lange")}
+    apart = ["li wu", "li xu", "ab cde", "abcd e"]
+    df = spark.createDataFrame([(k,) for k in sorted({x for p in want | short for x in p} | set(apart))], "k string")
+    for shard in (2000, 3):
+        got = {(r.a, r.b) for r in similar_keys(df, shard=shard).collect()}
+        assert want | short <= got and not any(x in p for p in got for x in apart)
+
+
+def test_short_strings_share_a_shard():
+    rng = random.Random(8)
+    for a in words(rng, 400, "abcdefgh", 5, 9):
+        p = rng.randrange(len(a))
+        for b in (a[:p] + a[p + 1 :], a[:p] + "x" + a[p:], a[:p] + "x" + a[p + 1 :], a[:p] + a[p + 1 : p + 2] + a[p : p + 1] + a[p + 2 :]):
+            assert all(set(shards(a, level)) & set(shards(b, level)) for level in (1, 2)), (a, b)
