@@ -50,15 +50,24 @@ def unrelated_pairs(r: Relations) -> DataFrame:
     return r.file_imports.where(unrelated("src", "dst"))
 
 
-def co_changes(r: Relations, targets: int = 20, limit: int = 200, least: float = 0.3) -> DataFrame:
-    """For the most changed source files, the files in at least three tenths of their newest 200 commits."""
-    top = r.commit_files.where(F.col("file_path").rlike(SOURCE)).groupBy("file_path").agg(n().alias("k")).orderBy(F.desc("k"), "file_path").limit(targets).select("file_path")
-    c = newest(r.changes.join(F.broadcast(top), "file_path", "left_semi"), "file_path", limit).select(F.col("file_path").alias("target"), "hash")  # of some files
+def co_changes(r: Relations, targets: int | None = 20, limit: int = 200, least: float = 0.3) -> DataFrame:
+    """For the most changed source files (all if targets is None), the files in at least three tenths of their newest 200 commits."""
+    if targets is None:
+        of = r.changes.where(F.col("file_path").rlike(SOURCE))
+    else:
+        top = r.commit_files.where(F.col("file_path").rlike(SOURCE)).groupBy("file_path").agg(n().alias("k")).orderBy(F.desc("k"), "file_path").limit(targets).select("file_path")
+        of = r.changes.join(F.broadcast(top), "file_path", "left_semi")
+    c = newest(of, "file_path", limit).select(F.col("file_path").alias("target"), "hash")  # of some files
     total = c.groupBy("target").agg(n().alias("commits"))
     o = c.join(r.commit_files.select("hash", "file_path"), "hash").where("file_path <> target").groupBy("target", "file_path").agg(n().alias("together"))
     return o.join(total, "target").withColumn("strength", r2(F.col("together") / F.col("commits"))).where(F.col("strength") >= least).select("target", "file_path", "together", "strength")
 
 
+def co_changes_all(r: Relations) -> DataFrame:
+    """C3/J6 for every changed source file."""
+    return co_changes(r, None)
+
+
 def impact(r: Relations) -> DataFrame:
     """T4: impact of a change to every file, .35 dependents, .25 coupling, .25 complexity, .15 churn, with its level."""
     one = direct_dependents(r).withColumnRenamed("id", "file_path")
@@ -252,7 +261,7 @@ def _q(f, *a, **k):
 
 
 QUERIES = {
-    "c1_coupling": _q(coupling), "c2_unrelated": _q(unrelated_pairs), "c3_co_changes": _q(co_changes), "t4_impact": _q(impact), "k_risk_batch": _q(change_risk), "k2_largest_files": _q(largest_files), "j10_find_file": _q(reported_files),
+    "c1_coupling": _q(coupling), "c2_unrelated": _q(unrelated_pairs), "c3_co_changes": _q(co_changes), "c3_co_changes_all": _q(co_changes_all), "t4_impact": _q(impact), "k_risk_batch": _q(change_risk), "k2_largest_files": _q(largest_files), "j10_find_file": _q(reported_files),
     "pf11_file_risk": _q(predicted_risk), "pf11_prediction": _q(prediction), "pf12_precommit": _q(precommit), "pf13_review_risk": _q(review_risk), "pf28_fixes": _q(fix_suggestions), "pf29_blocks": _q(extractable_blocks), "pf30_groups": _q(symbol_groups),
 }
 

@@ -188,6 +188,12 @@ def chain_from_hub(r: Relations) -> DataFrame:
     return call_chain(r, hub.select("id"), 2)
 
 
+def chain_from_hub_deep(r: Relations) -> DataFrame:
+    """T1 from the same file at the survey's depth, 6 edges."""
+    hub = r.file_imports.groupBy(F.col("dst").alias("id")).agg(n().alias("k")).orderBy(F.desc("k"), "id").limit(1)
+    return call_chain(r, hub.select("id"))
+
+
 def cyclic_core(r: Relations, rounds: int = 8) -> DataFrame:
     """Import pairs that can lie on a cycle: ends without another import in or out are taken away, layer by layer.
 
@@ -226,6 +232,11 @@ def bounded_cycles(r: Relations, longest: int = 4) -> DataFrame:
     return out.withColumn("severity", severity(F.col("length")))
 
 
+def cycles_to_six(r: Relations) -> DataFrame:
+    """T5 to the survey's length."""
+    return bounded_cycles(r, 6)
+
+
 #: Edges of a component of the cyclic core that one task walks depth first.
 WALK = 2_000_000
 
@@ -440,7 +451,7 @@ QUERIES = {
     "g7_languages": _q(language_histogram), "g8_graph_stats": _q(graph_stats), "g10_scan_errors": _q(scan_errors), "j1_resolved_imports": _q(resolved_imports), "t7_degrees": _q(degrees),
     "g9_incremental": lambda s, d: update_incremental(Relations(s, d).nodes.select("id", "ord", "modification_count"), Relations(s, d).raw("nodes").select("id", "ord", "modification_count")).select("id", F.coalesce("modification_count", F.lit(-1)).cast("bigint").alias("modification_count")),
     "t2_direct_dependents": _q(direct_dependents), "t3_indirect_dependents": _q(indirect_dependents), "t8_coupling_scores": _q(coupling_scores), "pf5_relationships": _q(relationships), "pf27_mutual_imports": _q(mutual_imports),
-    "j3_dead_by_name": _q(dead_by_name), "j4_dead_by_target": _q(dead_by_target), "a21_dead_by_symbol": _q(dead_by_symbol), "t1_call_chain": _q(chain_from_hub), "t5_bounded_cycles": _q(bounded_cycles), "t6_back_edges": _q(back_edges),
+    "j3_dead_by_name": _q(dead_by_name), "j4_dead_by_target": _q(dead_by_target), "a21_dead_by_symbol": _q(dead_by_symbol), "t1_call_chain": _q(chain_from_hub), "t1_call_chain_deep": _q(chain_from_hub_deep), "t5_bounded_cycles": _q(bounded_cycles), "t5_cycles_to_six": _q(cycles_to_six), "t6_back_edges": _q(back_edges),
     "pf9_zones": _q(zones), "pf10_standup_risk": _q(standup_risk), "pf14_edit_warnings": _q(edit_warnings), "a25_drift": _q(drift), "a25_drift_score": _q(drift_score), "a22_architecture": _q(architecture), "pf25_diagram": _q(diagram),
     "s22_diagram_text": _q(diagram_text), "pf24_tour": _q(tour), "pf26_confession": _q(confession), "a21_summary": _q(codebase_summary),
 }
