@@ -120,6 +120,11 @@ def is_prose(lines: list[Line], lexicon: Lexicon) -> bool:
     return common >= 0.1 or 0.2 <= short <= 0.65 and len(words) >= 12 and spread_of_lengths >= 2
 
 
+def distinct_share(words: list[str], window: int = 400) -> float:
+    """Share of distinct words within consecutive windows over all words, so that it doesn't fall with a text's length."""
+    return sum(len(set(words[k : k + window])) for k in range(0, len(words), window)) / max(len(words), 1)
+
+
 def statistics(text: str | None, lexicon: Lexicon) -> tuple:
     """The statistics of a text in the order of STATISTICS; blank texts have zeros and no language."""
     text = (text or "").replace("\r\n", "\n").replace("\r", "\n")
@@ -157,7 +162,7 @@ def statistics(text: str | None, lexicon: Lexicon) -> tuple:
         (len(dense) - letters - digits) / size, digits / size, letters / size, of(str.isupper) / max(letters, 1),
         sum(bool(END.search(x)) for x in lines) / n, sum(infos[x].bullet for x in lines) / n, sum(infos[x].cut for x in lines) / n,
         sum(per_line) / n, sum(x < 4 for x in per_line) / n, common, sum(x <= 3 for x in lengths) / count,
-        len(seen) / n, len(set(low[:400])) / max(len(low[:400]), 1), sum(infos[x].code for x in lines) / n,
+        len(seen) / n, distinct_share(low), sum(infos[x].code for x in lines) / n,
         len(LETTERS.findall(text)) / max(len(tokens), 1),
         prose / max(total, 1), junk / size, lang,
     )

@@ -61,3 +61,11 @@ def test_holdout_accuracy():
     held = pd.DataFrame([statistics(t, LEXICON) for t, _ in HOLDOUT], columns=NAMES)
     p = model.probability(matrix(held))
     assert ((p <= 0.5) == np.array([q for _, q in HOLDOUT])).mean() >= 0.97 and len(FEATURES) == matrix(held).shape[1]
+
+
+def test_distinct_words_are_those_of_the_whole_text():
+    at = NAMES.index("distinct_word_share")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    varied = [f"{a}{b}{c}" for a in "xy" for b in letters for c in letters][:400]
+    share = lambda ws: statistics(" ".join(ws), LEXICON)[at]
+    assert share(varied) == 1 and share(varied * 5) == 1 and share(varied + ["same"] * 3600) == (400 + 9) / 4000 and share([]) == 0
