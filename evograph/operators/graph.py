@@ -237,22 +237,17 @@ def cycles_to_six(r: Relations) -> DataFrame:
     return bounded_cycles(r, 6)
 
 
-#: Edges of a component of the cyclic core that one task walks depth first.
-WALK = 2_000_000
-
-
 def back_edges(r: Relations) -> DataFrame:
     """One cycle for each back edge of a depth-first walk, by component of the cyclic core.
 
-    Files are visited in order of their ids. Components of more than WALK edges are left to bounded_cycles and
-    appear here as one row without a cycle.
+    Files are visited in order of their ids. A walk goes on from what it has seen, so one task walks a component
+    whatever its size, and holds its edges.
     """
     import pandas as pd
 
     e = cyclic_core(r)
     c = connected_components(e.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     e = cut(e.join(c, e.src == c.node).select("component", "src", "dst"))
-    size = e.groupBy("component").agg(n().alias("k"))
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
         to: dict[str, list[str]] = {}
@@ -263,7 +258,7 @@ def back_edges(r: Relations) -> DataFrame:
         for root in sorted(to):
             if root in state:
                 continue
-            path, todo = [root], [iter(to[root])]
+            path, todo, place = [root], [iter(to[root])], {root: 0}
             state[root] = 1
             while todo:
                 nxt = next(todo[-1], None)
@@ -271,19 +266,18 @@ def back_edges(r: Relations) -> DataFrame:
                     state[path.pop()] = 2
                     todo.pop()
                 elif state.get(nxt, 0) == 1:
-                    ring = path[path.index(nxt) :]
+                    ring = path[place[nxt] :]
                     k = ring.index(min(ring))
                     found.add(" > ".join(ring[k:] + ring[:k]))
                 elif nxt not in state:
                     state[nxt] = 1
+                    place[nxt] = len(path)
                     path.append(nxt)
                     todo.append(iter(to.get(nxt, ())))
         return pd.DataFrame([(frame.component.iloc[0], x, x.count(" > ") + 1) for x in sorted(found)], columns=["component", "cycle", "length"])
 
-    small = e.join(size.where(F.col("k") <= WALK), "component", "left_semi")
-    rings = small.groupBy("component").applyInPandas(walk, "component string, cycle string, length bigint")
-    large = size.where(F.col("k") > WALK).select("component", F.lit(None).cast("string").alias("cycle"), F.lit(None).cast("bigint").alias("length"))
-    return rings.unionByName(large).withColumn("severity", severity(F.col("length")))
+    rings = e.groupBy("component").applyInPandas(walk, "component string, cycle string, length bigint")
+    return rings.withColumn("severity", severity(F.col("length")))
 
 
 # ---- judgements over files ----

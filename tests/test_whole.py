@@ -46,3 +46,11 @@ def test_cycles_of_five_and_six(spark):
     got = {(r.cycle, r.length, r.severity) for r in graph.cycles_to_six(SimpleNamespace(file_imports=df)).collect()}
     assert got == {("a > b > c", 3, "low"), ("d > e > f > g > h", 5, "medium"), ("i > j > k > l > m > n", 6, "high")}
     assert "t5_cycles_to_six" in catalog.queries()
+
+
+def test_large_components_are_walked(spark, monkeypatch):
+    monkeypatch.setattr(graph, "WALK", 3, raising=False)  # was the bound on a component's edges
+    edges = [(a, b) for a, b in zip("abcdef", "bcdefa")] + [("c", "b"), ("x", "y"), ("y", "x")]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    got = {(r.cycle, r.length) for r in graph.back_edges(SimpleNamespace(file_imports=df)).collect()}
+    assert got == {("a > b > c > d > e > f", 6), ("b > c", 2), ("x > y", 2)}
