@@ -49,6 +49,10 @@ BINARY = {
 MODIFIERS = frozenset("public private protected static readonly abstract override declare accessor".split())
 
 
+#: Frames of the parser. They live on the heap, so that the nesting of a text (about ten frames a level) is bound by memory only.
+DEEP = 2_000_000
+
+
 class Bad(Exception):
     """A syntax error at an offset."""
 
@@ -1958,27 +1962,25 @@ class Parser:
 def check(text: str | None, ext: str) -> tuple[str, int] | None:
     """The first syntax error of a text for its extension (.ts, .tsx, .js, .jsx) as (what, offset), or None.
 
-    Null and empty texts are valid. Nesting deeper than the recursion limit is not judged.
+    Null and empty texts are valid. Nesting beyond DEEP frames of the parser gives ("nesting too deep", -1): not judged.
     """
     if not text:
         return None
-    if sys.getrecursionlimit() < 30000:
-        sys.setrecursionlimit(30000)
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEP))
     ext = ext.lower().lstrip(".")
     try:
         Parser(text, ext in ("ts", "tsx", "mts", "cts"), ext in ("tsx", "jsx")).module()
     except Bad as e:
         return e.what, e.at
     except RecursionError:
-        return None
+        return "nesting too deep", -1
     return None
 
 
 def segment(text: str, ext: str) -> tuple[tuple[str, int] | None, list[str], list[str]]:
     """Like check for a run of whole top-level statements; also the names it declares and exports, so that
     duplicates between runs of one file can be found when the runs are put together."""
-    if sys.getrecursionlimit() < 30000:
-        sys.setrecursionlimit(30000)
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEP))
     ext = ext.lower().lstrip(".")
     p = None
     try:
@@ -1987,6 +1989,6 @@ def segment(text: str, ext: str) -> tuple[tuple[str, int] | None, list[str], lis
     except Bad as e:
         return (e.what, e.at), [], []
     except RecursionError:
-        return None, [], []
+        return ("nesting too deep", -len(text) - 1), [], []
     lex, var, _ = p.scopes[0]
     return None, sorted(lex) + [f"var {x}" for x in sorted(var)], sorted(p.exports)
