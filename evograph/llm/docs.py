@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..session import spread
 from ..sources.ecma import check
-from .syntax import CODE, Trace, chunk_map, chunks, extension, judge, lex
+from .syntax import CODE, Trace, extension, judge, lex
 
 # ---- what a description says ----
 
@@ -234,7 +234,7 @@ def _islands(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, text in zip(f.file_path, f.content):
             ext = extension(path)
             text = text[1:] if text.startswith("﻿") else text
-            parses = ext not in ("ts", "tsx", "js", "jsx") or judge(text, ext, [chunk_map(t, i == 0, b) for i, (b, t) in enumerate(chunks(text))]) is None
+            parses = ext not in ("ts", "tsx", "js", "jsx") or judge(text, ext) is None
             rows += [(path, line, *x, parses) for line, x in islands(text).items()]
         yield pd.DataFrame(rows, columns=["file_path", "line", "comment", "signature", "code", "parses"])
 

@@ -47,13 +47,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return syntax.syntax_errors(table(spark, d, "source_files")).select("file_id").distinct()
+    return syntax.syntax_errors(table(spark, d, "source_files")).where("evidence <> 'depth'").select("file_id").distinct()
 
 
 def p5_errors(spark: SparkSession, d: str) -> DataFrame:
     return syntax.syntax_errors(table(spark, d, "source_files"))
 
 
+def p5_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """How many errors were told by summaries, by local grammars, by names of several runs, and by a parse of the whole."""
+    return syntax.syntax_errors(table(spark, d, "source_files")).groupBy("ext", "evidence").agg(F.count("*").alias("files"))
+
+
 def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.syntax_rates(table(spark, d, "source_files"))
 
