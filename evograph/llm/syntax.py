@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import cut, spread
 from ..sources.ecma import REGEX, check, segment
 
 #: Characters of a chunk, at least; it ends with the line.
@@ -555,10 +555,15 @@ def syntax_errors(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
     of the grammar. evidence names what told the error: summary (of lexer states and brackets), statement (the
     local grammar of a balanced run), names (declared by two runs), whole (a doubt of the summary, so the file was
     parsed whole) or depth: nesting beyond what the parser can hold, which is no error but a file not judged.
+    Files of more than a chunk are looked for when this is called (one job), the rest is lazy.
     """
-    once = spread(files.select("file_id", "repo", "file_path", "content").where("content <> ''"), "file_id").dropDuplicates(["file_id"])
+    once = lambda x: spread(x, "file_id").dropDuplicates(["file_id"])
+    some = files.select("file_id", "repo", "file_path", "content").where("content <> ''")
     long = F.length("content") > chunk
-    return once.where(~long).mapInPandas(_small, _ERROR).unionByName(large_files(once.where(long), chunk))
+    small = once(some.where(~long)).mapInPandas(_small, _ERROR)
+    # the files of several chunks are read by several stages, so they are kept; mostly there are few
+    large = cut(once(some.where(long)))
+    return small if large.isEmpty() else small.unionByName(large_files(large, chunk)).dropDuplicates(["file_id"])
 
 
 LANGUAGE = {"ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "jsx"}
