@@ -1,9 +1,9 @@
 """Functions paired with their documentation.
 
-Files are read by an island grammar of their language: the islands are comments, annotations (decorators and
-modifiers), signatures and balanced bodies; all other code is water that is skipped token by token. An island
-is keyed by the line on which its function begins, so that it meets its node by an equality on path and line,
-however many functions a file holds. A description is kept if something remains of it when markup, tool
+Files are read by an island grammar of their language (types and their modifiers in TypeScript, elements in the
+JSX languages): the islands are comments, annotations (decorators), signatures and balanced bodies; all other
+code is water that is skipped token by token. An island is keyed by the line on which its function begins, so that
+it meets its node by an equality on path and line, however many functions a file holds. A description is kept if something remains of it when markup, tool
 directives, stand-ins, pointers, disabled code and restatements of the signature are taken away.
 """
 
@@ -12,15 +12,16 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import spread
+from ..session import cut, spread
 from ..sources.ecma import check
-from .syntax import CODE, Trace, extension, judge, lex
+from .syntax import CODE, Trace, extension, lex, syntax_errors
 
 # ---- what a description says ----
 
@@ -141,56 +142,112 @@ def has_content(doc: str | None, name: str | None, parameters=None, types: str |
 
 # ---- islands ----
 
-HEAD = re.compile(
-    r"(?:(?:export|default|declare|async|public|private|protected|static|abstract|override|readonly|get|set|accessor)\s+|\*\s*)*"
-    r"(?:function\b\s*\*?\s*(?P<f>[\w$]*)\s*(?=[(<])|(?:const|let|var)\s+(?P<v>[\w$]+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\b\s*\*?|(?=\(|[\w$]+\s*=>|<))|(?P<m>[\w$#]+|\[[^\]\n]+\])\s*\??\s*(?=[(<]))"
-)
+# Words that may stand before a function's own.
+_MODIFIERS = "export default declare async public private protected static abstract override readonly get set accessor".split()
+_SCRIPT_MODIFIERS = "export default async static get set accessor".split()
+_NAME = r"[\w$#]+|\[[^\]\n]+\]|'[^'\n]+'|\"[^\"\n]+\""
+
+
+class Grammar:
+    """What an island looks like in one language."""
+
+    def __init__(self, types: bool, jsx: bool):
+        self.types, self.jsx = types, jsx
+        words = "|".join(_MODIFIERS if types else _SCRIPT_MODIFIERS)
+        call = r"[(<]" if types else r"\("  # what begins a signature
+        typed = r"(?::[^=\n]+)?" if types else ""
+        arrow = r"(?:async\s*)?(?:function\b\s*\*?\s*[\w$]*\s*(?=\()|(?=\(|[\w$]+\s*=>" + (r"|<" if types else "") + r"))"
+        # a signature up to its parenthesis: functions, functions as values of names, of members and of properties, methods
+        self.head = re.compile(
+            rf"(?:(?:{words})\s+|\*\s*)*"
+            rf"(?:function\b\s*\*?\s*(?P<f>[\w$]*)\s*(?={call})|(?:const|let|var)\s+(?P<v>[\w$]+)\s*{typed}=\s*{arrow}"
+            rf"|(?P<k>{_NAME})\s*(?::|{typed}=(?![=>]))\s*{arrow}|(?P<m>{_NAME})\s*\??\s*(?={call}))"
+        )
+        # between the parameters and the body: a return type where there are types, the arrow; braces directly behind
+        # a sign of the type belong to it
+        result = r"(?::\s*(?:(?:[^={;\n]*[|&<,(:]\s*)?\{[^{}\n]*\})*[^={;\n]*)?" if types else ""
+        self.tail = re.compile(rf"\s*{result}\s*(=>)?\s*")
+
+
+GRAMMARS = {"ts": Grammar(True, False), "tsx": Grammar(True, True), "js": Grammar(False, False), "jsx": Grammar(False, True)}
+
 LINE = re.compile(r"^[ \t\ufeff]*(?=\S)", re.M)
 SPACES = re.compile(r"[ \t]*")
+#: Behind these on a line a further function can begin.
+WITHIN = re.compile(r"[;{},][ \t]*(?=[A-Za-z_$*#'\"@\[])")
+ANNOTATION = re.compile(r"@[\w$.]+[ \t]*")
+BLANKS = re.compile(r"\s*")
 # Words before a parenthesis that begin no method.
 NOT_METHOD = frozenset("if for while switch catch return function await typeof new throw super this import export do else case with yield void delete".split())
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, bool]], list[int], dict[int, int]]:
-    """Comments as (start, end, whether first on their line), offsets of the first code of every line, and which bracket closes which."""
+def scan(text: str, grammar: Grammar) -> tuple[list[tuple[int, int, bool]], list[int], dict[int, int]]:
+    """Comments as (start, end, whether first on their line), offsets at which code can begin an island, and which bracket closes which."""
     trace = Trace()
-    lex(text, CODE, 0, trace)
+    lex(text, CODE, 0, trace, grammar.jsx, grammar.types)
     comments = []
     for a, b in trace.comments:
         ahead = text[text.rfind("\n", 0, a) + 1 : a]
         comments.append((a, b, not ahead.strip() or re.fullmatch(r"\s*(?:/\*.*?\*/\s*)+", ahead) is not None))
     spans = sorted(trace.comments + trace.templates)
     starts = [a for a, _ in spans]
-    firsts = []
-    for m in LINE.finditer(text):
-        at = m.end()
+
+    def behind(at: int) -> int:
+        """The first code of a line from an offset on, behind comments; -1 if the line has none."""
         while True:
             i = bisect_right(starts, at) - 1
             if i < 0 or at >= spans[i][1]:
-                firsts.append(at)
-                break
+                return at
             end = spans[i][1]
             if "\n" in text[at:end]:
-                break
+                return -1
             at = SPACES.match(text, end).end()
             if at >= len(text) or text[at] == "\n":
-                break
-    return comments, firsts, trace.match
+                return -1
+
+    firsts = {behind(m.end()) for p in (LINE, WITHIN) for m in p.finditer(text)}
+    return comments, sorted(firsts - {-1}), trace.match
+
+
+def annotated(text: str, at: int, match: dict[int, int], comments: dict[int, int]) -> int:
+    """The offset behind the annotations that begin at an offset, and behind comments between them."""
+    while True:
+        m = ANNOTATION.match(text, at)
+        if m:
+            at = m.end()
+            if text[at : at + 1] == "(":
+                if at not in match:
+                    return at
+                at = match[at] + 1
+        elif at in comments:
+            at = comments[at]
+        else:
+            return at
+        at = BLANKS.match(text, at).end()
+
+
+class Island(NamedTuple):
+    """A function: its name as typed, its signature and its code to the end of the balanced body."""
+
+    name: str
+    signature: str
+    code: str
 
 
-def islands(text: str) -> dict[int, tuple[str | None, str | None, str | None]]:
-    """line -> (comment that ends on the line above, signature, code) of a file, for lines with either.
+def islands(text: str, ext: str = "ts") -> dict[int, tuple[str | None, list[Island]]]:
+    """line -> (comment that ends on the line above, functions that begin on the line) of a file, for lines with either.
 
-    Lines count from 1. Code runs from the function's first word to the end of its balanced body, or of its
-    signature if it has none. Comments of one line each that stand below one another are one comment.
+    Lines count from 1. Code runs from the function's first word, or from its annotations, to the end of its
+    balanced body, or of its signature if it has none. A function behind annotations is found by their first line and
+    by its own. Comments of one line each that stand below one another are one comment.
     """
+    grammar = GRAMMARS.get(ext, GRAMMARS["ts"])
     text = text.replace("\r\n", "\n").replace("\r", "\n")
-    comments, firsts, match = scan(text)
+    comments, firsts, match = scan(text, grammar)
     starts = [0]
     for m in re.finditer("\n", text):
         starts.append(m.end())
     line_of = lambda at: bisect_right(starts, at)
-    out: dict[int, tuple[str | None, str | None, str | None]] = {}
     docs: dict[int, str] = {}
     run: tuple[int, str] | None = None  # line and text of the comments of one line directly above
     for a, b, first in comments:
@@ -204,43 +261,46 @@ def islands(text: str) -> dict[int, tuple[str | None, str | None, str | None]]:
         else:
             run = None
         docs[end + 1] = body
-    for at in firsts:
-        m = HEAD.match(text, at)
-        if not m or not (m["f"] is not None or m["v"] or m["m"]) or m["m"] in NOT_METHOD:
+    ends = {a: b for a, b, _ in comments}
+    found: dict[int, list[Island]] = {}
+    seen: set[int] = set()
+    for begin in firsts:
+        at = annotated(text, begin, match, ends) if text[begin] == "@" else begin
+        m = grammar.head.match(text, at)
+        if not m or at in seen or not (m["f"] is not None or m["v"] or m["k"] or m["m"]) or m["m"] in NOT_METHOD:
             continue
+        value = bool(m["v"] or m["k"])
         p = text.find("(", m.end())
-        arrow = bool(m["v"])
-        if p not in match and not arrow:
+        if p not in match and not value:
             continue
         end = match.get(p, m.end()) + 1
-        tail = re.compile(r"\s*(?::\s*[^={;\n]*(?:\{[^{}\n]*\}[^={;\n]*)?)?\s*(=>)?\s*").match(text, end)
+        tail = grammar.tail.match(text, end)
         q = tail.end()
-        if m["m"] and text[q : q + 1] != "{":
+        if (m["m"] or m["k"]) and text[q : q + 1] != "{" and not (m["k"] and tail[1]):
             continue
-        code_end = match.get(q, q) + 1 if text[q : q + 1] == "{" else (text.find("\n", q) if arrow and text.find("\n", q) > 0 else end)
-        out[line_of(at)] = (None, text[at:end].strip(), text[at:code_end])
-    for line, doc in docs.items():
-        _, s, c = out.get(line, (None, None, None))
-        out[line] = (doc, s, c)
-    return out
+        seen.add(at)
+        code_end = match.get(q, q) + 1 if text[q : q + 1] == "{" else (text.find("\n", q) if value and text.find("\n", q) > 0 else end)
+        island = Island((m["f"] or m["v"] or m["k"] or m["m"] or "").strip("'\""), text[at:end].strip(), text[begin:code_end])
+        found.setdefault(line_of(begin), []).append(island)
+        if line_of(at) > line_of(begin):
+            found.setdefault(line_of(at), []).append(island._replace(code=text[at:code_end]))
+    return {line: (docs.get(line), found.get(line, [])) for line in docs.keys() | found.keys()}
 
 
-_ISLANDS = "file_path string, line int, comment string, signature string, code string, parses boolean"
+_ISLANDS = "file_path string, line int, comment string, functions array<struct<name:string,signature:string,code:string>>"
 
 
 def _islands(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         rows = []
         for path, text in zip(f.file_path, f.content):
-            ext = extension(path)
-            text = text[1:] if text.startswith("﻿") else text
-            parses = ext not in ("ts", "tsx", "js", "jsx") or judge(text, ext) is None
-            rows += [(path, line, *x, parses) for line, x in islands(text).items()]
-        yield pd.DataFrame(rows, columns=["file_path", "line", "comment", "signature", "code", "parses"])
+            text = text[1:] if text.startswith("\ufeff") else text
+            rows += [(path, line, comment, [x._asdict() for x in fs]) for line, (comment, fs) in islands(text, extension(path)).items()]
+        yield pd.DataFrame(rows, columns=["file_path", "line", "comment", "functions"])
 
 
 def file_islands(files: DataFrame) -> DataFrame:
-    """Rows (file_path, line, comment, signature, code, parses) of all islands of the files; repeated paths count once."""
+    """Rows (file_path, line, comment, functions) of all islands of the files; repeated paths count once."""
     once = files.select("file_path", "content").where("file_path IS NOT NULL AND content <> ''")
     return spread(once, "file_path").dropDuplicates(["file_path"]).mapInPandas(_islands, _ISLANDS)
 
@@ -261,8 +321,10 @@ def documented_functions(nodes: DataFrame, files: DataFrame) -> DataFrame:
     nodes: id, node_type, name, file_path, line_start, documentation, parameters, return_type, ord. Of the
     repeated rows of an id, the one with the highest ord counts. The documentation is nodes.documentation or,
     where that is null, the comment that ends on the line above the function, if the file parses. Functions
-    whose documentation is missing or without content are left out. Code and signature are null where the
-    file is unknown or has no function on that line; null ids, and nulls elsewhere, do no harm.
+    whose documentation is missing or without content are left out. Of several functions on a line the one of the
+    node's name is taken, else the first. Code and signature are null where the file is unknown or has no
+    function on that line; null ids, and nulls elsewhere, do no harm. Only files of which a comment would count are
+    parsed, by the operator of syntax errors; the rows up to there are kept (a checkpoint).
     """
     w = Window.partitionBy("id").orderBy(F.col("ord").desc_nulls_last(), F.col("documentation").desc_nulls_last(), "line_start")
     functions = (
@@ -273,14 +335,21 @@ def documented_functions(nodes: DataFrame, files: DataFrame) -> DataFrame:
         .drop("rn", "ord")
     )
     found = file_islands(files).withColumnRenamed("line", "line_start")
-    joined = functions.join(found, ["file_path", "line_start"], "left")
-    doc = F.coalesce("documentation", F.when(F.col("parses"), F.col("comment")))
-    return (
-        joined.withColumn("doc", doc)
+    short = F.element_at(F.split(F.coalesce("name", F.lit("")), r"\."), -1)
+    named = F.filter("functions", lambda x: x["name"] == short)
+    kept = cut(
+        functions.join(found, ["file_path", "line_start"], "left")
+        .withColumn("doc", F.coalesce("documentation", "comment"))
         .where("doc IS NOT NULL AND trim(doc) <> ''")
         .where(_content("doc", "name", "parameters", "return_type"))
+        .withColumn("island", F.coalesce(F.get(named, F.lit(0)), F.get("functions", F.lit(0))))
         .select(
-            "id", "file_path", "name", "parameters", "signature", "code", _described("doc").alias("description"),
+            "id", "file_path", "name", "parameters", "island.signature", "island.code", _described("doc").alias("description"),
             F.when(F.col("documentation").isNull(), "comment").otherwise("node").alias("documented_by"),
         )
     )
+    asked = kept.where("documented_by = 'comment'").select("file_path").distinct()
+    some = files.select(F.col("file_path").alias("repo"), "file_path", "content").where("content <> ''").join(asked, "file_path", "left_semi").dropDuplicates(["file_path"])
+    broken = syntax_errors(some.withColumn("file_id", F.xxhash64("file_path"))).where("evidence <> 'depth'").select("file_path").distinct()
+    by_comment = kept.where("documented_by = 'comment'").join(broken, "file_path", "left_anti").select(*kept.columns)
+    return kept.where("documented_by = 'node'").union(by_comment)

@@ -11,12 +11,18 @@ from ..session import cut, table
 from . import docs, handwritten, leaks, names, packing, quality, syntax, vectors
 
 
+def p1_documented(spark: SparkSession, d: str) -> DataFrame:
+    """Every documented function, with code where its file has an island for it."""
+    return docs.documented_functions(table(spark, d, "nodes"), table(spark, d, "source_files"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return p1_pairs(spark, d).select("id")
+    return p1_documented(spark, d).select("id")
 
 
 def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return docs.documented_functions(table(spark, d, "nodes"), table(spark, d, "source_files"))
+    """Pairs of code and description: a function without an island is none."""
+    return p1_documented(spark, d).where("code IS NOT NULL")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

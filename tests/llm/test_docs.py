@@ -58,20 +58,58 @@ function d() { (
 
 def test_islands():
     found = islands(CODE.replace("\n", "\r\n"))
-    assert found[2][0] == "/** About a. */" and found[2][2].endswith("// {\n}") and found[2][1] == "export async function a(x: string)"
-    assert found[8][0] == "// one\n// two" and found[8][2].startswith("const b") and found[8][2].endswith("}")
-    assert found[14][0] == "/* of m */" and found[14][2].count("\n") == 2
-    assert found[17][0] is None and found[17][2] == "n() { call(1); }"
+    one = lambda line: found[line][1][0]
+    assert found[2][0] == "/** About a. */" and one(2).code.endswith("// {\n}") and one(2).signature == "export async function a(x: string)"
+    assert found[8][0] == "// one\n// two" and one(8).code.startswith("const b") and one(8).code.endswith("}")
+    assert found[14][0] == "/* of m */" and one(14).code.count("\n") == 2
+    # a function behind annotations begins with them, and is found by its own line as well
+    assert one(12).code == "@dec()\n  /* of m */\n  " + one(14).code and one(12).signature == one(14).signature
+    assert found[17][0] is None and one(17).code == "n() { call(1); }"
     assert found.get(20, (None,))[0] is None
     assert islands("") == {}
 
 
+MORE = """class A {
+  /** About run. */
+  @Log({ a: [1] })
+  // and again
+  @Twice
+  run(x: string): { z: number } | void { go(); }
+}
+function a() { return 1; } function b(): string { return "2; c() {"; }
+/* before */ function c() { return 3; }
+const o = {
+  // on a click
+  onClick: () => { x(); }, onBlur: async (e) => e.y,
+  'quoted'(z) { return z; }, call: other(1),
+};
+export class C { p = (a) => { q(); }; static r() {} }
+"""
+
+
+def test_annotations_members_and_several_functions_on_a_line():
+    found = islands(MORE)
+    names = {line: [x.name for x in fs] for line, (_, fs) in found.items() if fs}
+    assert names == {3: ["run"], 6: ["run"], 8: ["a", "b"], 9: ["c"], 12: ["onClick", "onBlur"], 13: ["quoted"], 15: ["p", "r"]}
+    assert found[3][0] == "/** About run. */" and found[3][1][0].code.startswith("@Log") and found[3][1][0].code.endswith("{ go(); }")
+    assert found[8][1][1].code == 'function b(): string { return "2; c() {"; }'
+    assert found[9][1][0].code == "function c() { return 3; }" and found[12][0] == "// on a click"
+    # no type annotations and no type arguments in plain scripts; text of elements in JSX only
+    assert not [x for _, fs in islands("function f<T>(a) { }", "js").values() for x in fs] and islands("function f<T>(a) { }", "ts")
+    jsx = "const a = () => <p>it's {1}</p>;\nfunction b() { return <i>'</i>; }\n"
+    assert [x.name for _, fs in sorted(islands(jsx, "jsx").items()) for x in fs[1]] == ["a", "b"]
+
+
 def test_table(spark):
     files = spark.createDataFrame(
         [("f.ts", CODE.rsplit("function d", 1)[0]), ("g.ts", "// Waits for the lock before reading.\nfunction g() { ("), ("h.js", None), ("f.ts", CODE.rsplit("function d", 1)[0])],
         "file_path string, content string",
     ).selectExpr("*", "1 AS line", "'x' AS id")
+    more = spark.createDataFrame([("m.ts", MORE), ("m.ts", MORE)], "file_path string, content string").selectExpr("*", "1 AS line", "'x' AS id")
+    files = files.union(more)
     rows = [
+        ("7", "function", "b", "m.ts", 8, "Waits for the lock before reading.", [], "string", 1),
+        ("8", "function", "A.run", "m.ts", 3, None, ["x"], None, 1),
         ("1", "function", "a", "f.ts", 2, None, ["x"], None, 1),
         ("2", "function", "b", "f.ts", 8, "Keeps the lock until the last reader leaves.", None, None, 1),
         ("2", "function", "b", "f.ts", 8, "Keeps the lock until the last reader leaves.", None, None, 2),
@@ -85,6 +123,6 @@ def test_table(spark):
         rows, "id string, node_type string, name string, file_path string, line_start int, documentation string, parameters array<string>, return_type string, ord long"
     ).selectExpr("*", "'y' AS code")
     got = {r.id: r for r in documented_functions(nodes, files).collect()}
-    assert set(got) == {"2", "4", "6"}
+    assert set(got) == {"2", "4", "6", "7"} and got["7"].signature == "function b()"
     assert got["2"].code.startswith("const b") and got["2"].documented_by == "node" and got["6"].code is None
     assert documented_functions(nodes.limit(0), files.limit(0)).count() == 0
