@@ -39,8 +39,18 @@ class Limits:
     blob_share: float = 0.5  # ... and its share of the file
 
 
-#: TypeScript is rarely minified by anything but a bundler for scripts; markup lines of JSX run longer.
-LIMITS = {"ts": Limits(mean_line=160), "tsx": Limits(mean_line=200), "js": Limits(), "jsx": Limits(mean_line=200)}
+#: What differs between the languages, each for a reason of its layout.
+LIMITS = {
+    # types make lines of hand-written code longer, but no bundler writes TypeScript, so that dense text is telling earlier;
+    # declaration files repeat shapes that plain keywords don't mark (members with types), so fewer words do
+    "ts": Limits(mean_line=160, long_line=1200, keywords=0.15),
+    # markup runs long and is indented deeply, so dense means less white space; icons are drawn by one long path
+    # literal in a hand-written component; lists of elements repeat a shape by nature
+    "tsx": Limits(mean_line=200, dense_space=0.12, blob=600, blob_share=0.6, repeated=0.92),
+    # what bundlers and minifiers write
+    "js": Limits(),
+    "jsx": Limits(mean_line=200, dense_space=0.12, blob=600, blob_share=0.6, repeated=0.92),
+}
 
 # Phrases of generators' banners, in the languages they are met in.
 GENERATED = (
@@ -77,13 +87,20 @@ BLOCKS = {"/*": "*/", "<!--": "-->"}
 BLOCK = re.compile(r"/\*|<!--|//")
 
 
+# What stands before the first statement of a file's own: directives, and lines of imports.
+PREAMBLE = re.compile(r"[\s>+\-]*\ufeff?(?:['\"]use \w+['\"];?\s*$|import\b[^;]*['\"];?\s*$|import\s*(?:type\s*)?\{[^}]*$|[\w$\s,]+,?\s*\}?\s*from\s*['\"][^'\"]*['\"];?\s*$|(?:const|var|let)\b[^=;]*=\s*require\([^)]*\);?\s*$)")
+
+
 def leading_comment(lines: list[str]) -> str:
-    """The comments that a file begins with, to their ends, and those among its first lines; lines are not blank."""
+    """The comments before the first code of a file's own, to their ends, however many; directives and imports may lie
+    between them. lines are not blank."""
     out = []
     end = None
     for x in lines:
         rest = x
         if end is None and not COMMENT.match(x):
+            if PREAMBLE.match(x):
+                continue
             break
         out.append(x)
         # what is open at the end of the line, and whether code follows within it
@@ -99,7 +116,7 @@ def leading_comment(lines: list[str]) -> str:
             rest, end = rest[m.end() :], BLOCKS[m.group()]
         if end is None and rest.strip() and not COMMENT.match(rest):
             break
-    return "\n".join(out + [x for x in lines[len(out) : 8] if COMMENT.match(x)])
+    return "\n".join(out)
 
 
 STATISTICS = (
@@ -145,8 +162,8 @@ def not_handwritten(files: DataFrame, limits: dict[str, Limits] = LIMITS) -> Dat
     """Rows (file_id, repo, file_path, reason, ...statistics) of the files that nobody wrote by hand.
 
     files: file_id, repo, file_path, content; repeated rows of a file_id count once, other columns are
-    ignored. reason is the first that holds of: vendored, generated, bundled, compiled, minified, data,
-    repetition. Null, empty and blank contents are no case (but for a path in a foreign folder), a null path has no
+    ignored. reason is the first that holds of: vendored, generated, bundled, compiled, data, minified,
+    repetition, foreign folder (the place alone: a folder that a package manager owns, by its exact name). Null, empty and blank contents are no case (but for a path in a foreign folder), a null path has no
     language and gets the thresholds of plain scripts.
     """
     s = statistics(files)
@@ -156,7 +173,7 @@ def not_handwritten(files: DataFrame, limits: dict[str, Limits] = LIMITS) -> Dat
     few_shapes = (F.col("repeated") >= by("repeated")) & (F.col("shapes") <= by("shapes")) & (F.col("n_lines") >= by("lines")) & (F.col("keywords") >= by("keywords"))
     dense = F.col("space") < by("dense_space")
     reason = F.coalesce(
-        F.when(F.concat(F.lit("/"), "file_path").rlike(FOREIGN) | banner(VENDORED) & ~banner(GENERATED) & (F.col("mean_line") < by("mean_line")), "vendored"),
+        F.when(banner(VENDORED) & ~banner(GENERATED) & (F.col("mean_line") < by("mean_line")), "vendored"),
         F.when(banner(GENERATED) | (F.col("snapshots") >= 2), "generated"),
         F.when(F.col("wrapped") >= 3, "bundled"),
         F.when(F.col("compiled") >= 2, "compiled"),
@@ -164,6 +181,7 @@ def not_handwritten(files: DataFrame, limits: dict[str, Limits] = LIMITS) -> Dat
                | (F.col("literal_lines") >= by("literal_lines")) & (F.col("literal_share") >= by("literal_share")), "data"),
         F.when(dense & ((F.col("mean_line") >= by("mean_line")) | (F.col("max_line") >= by("long_line"))), "minified"),
         F.when(few_shapes, "repetition"),
+        F.when(F.concat(F.lit("/"), "file_path").rlike(FOREIGN), "foreign folder"),
     )
     columns = [c for c in s.columns if c not in ("header", "file_id", "repo", "file_path")]
     return s.withColumn("reason", reason).where("reason IS NOT NULL").select("file_id", "repo", "file_path", "reason", *columns)

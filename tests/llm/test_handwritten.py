@@ -72,3 +72,15 @@ def test_banner_below_a_long_licence(spark):
     }
     df = spark.createDataFrame([(i, "r", "r/src/x.ts", t) for i, t in texts.items()], "file_id long, repo string, file_path string, content string")
     assert {r.file_id: r.reason for r in not_handwritten(df).collect()} == {1: "generated", 2: "vendored", 3: "generated", 4: "generated", 5: "generated", 6: "generated"}
+
+
+def test_banner_behind_directives_and_imports(spark):
+    body = "export function f(a) {\n  return a;\n}\n" * 3
+    imports = "'use strict';\n" + "".join(f"import {{ a{i} }} from './a{i}';\n" for i in range(12)) + "import {\n  x,\n  y,\n} from 'z';\n"
+    rows = [
+        (1, "r", "r/src/a.ts", imports + "// @generated by tool, do not edit\n" + body),
+        (2, "r", "r/src/b.ts", imports + body + "// @generated by tool, do not edit\n"),
+        (3, "r", "r/src/vendor-portal/c.ts", body), (4, "r", "r/vendor/c.ts", body),
+    ]
+    df = spark.createDataFrame(rows, "file_id long, repo string, file_path string, content string")
+    assert {r.file_id: r.reason for r in not_handwritten(df).collect()} == {1: "generated", 4: "foreign folder"}
