@@ -88,7 +88,9 @@ BLOCK = re.compile(r"/\*|<!--|//")
 
 
 # What stands before the first statement of a file's own: directives, and lines of imports.
-PREAMBLE = re.compile(r"[\s>+\-]*\ufeff?(?:['\"]use \w+['\"];?\s*$|import\b[^;]*['\"];?\s*$|import\s*(?:type\s*)?\{[^}]*$|[\w$\s,]+,?\s*\}?\s*from\s*['\"][^'\"]*['\"];?\s*$|(?:const|var|let)\b[^=;]*=\s*require\([^)]*\);?\s*$)")
+PREAMBLE = re.compile(r"[\s>+\-]*\ufeff?(?:['\"]use \w+['\"];?\s*$|import\b[^;]*['\"];?\s*$|(?:const|var|let)\b[^=;]*=\s*require\([^)]*\);?\s*$)")
+
+IMPORTS = re.compile(r"\s*import\b[^'\"{}]*\{[^}]*$")
 
 
 def leading_comment(lines: list[str]) -> str:
@@ -96,8 +98,12 @@ def leading_comment(lines: list[str]) -> str:
     between them. lines are not blank."""
     out = []
     end = None
+    imports = False  # within the braces of an import
     for x in lines:
         rest = x
+        if imports or end is None and IMPORTS.match(x):
+            imports = "}" not in x
+            continue
         if end is None and not COMMENT.match(x):
             if PREAMBLE.match(x):
                 continue
