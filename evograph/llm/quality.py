@@ -1,9 +1,13 @@
 """Per-document text statistics, and a classifier that tells running prose from everything else.
 
-The statistics are taken per document over its whole text. Gradient-boosted trees are trained on them with weak
-labels: simple rules vote for prose or for structural junk, and documents on which they agree are examples.
-The scores are calibrated to probabilities on a small holdout that was checked by hand. Training takes a bounded
-sample of documents, statistics and decisions cover all of them.
+The statistics are taken per document over its whole text, line by line: counts and ratios of the text as a whole, and
+*masses*: the shares of its characters that lie in stretches with a property of sentences or of their absence
+(frequent words, words of mixed lengths, words spelled in letters, list items, entries that each begin anew). No
+statistic decides anything. Gradient-boosted trees are trained on the masses with weak labels: simple rules over the
+other statistics, those of the text as a whole, vote for prose or for structural junk, so that labels and features
+look at a document from two sides. The scores are calibrated to probabilities on a small holdout of texts by other
+hands, checked by hand and never trained on. Training takes a bounded sample of documents, statistics and decisions
+cover all of them.
 """
 
 from __future__ import annotations
@@ -20,31 +24,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, spread
-from .holdout import HOLDOUT
+from .holdout import HOLDOUT, SEEDS
 
 #: Documents of the training sample, at most: those with the smallest hashes.
 SAMPLE = 4000
 TREES, DEPTH, RATE, BINS, LEAF = 80, 3, 0.15, 32, 8
 
 WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
-TOKEN = re.compile(r"\S+")
 TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
 LINK = re.compile(r"\(?(?:see )?\[[^\]\n]{0,200}\]\([^)\n]{0,300}\)\)?|https?://\S+")
 MARK = re.compile(r"^[ \t]*(?:>[ \t]?)+|^[ \t]*#{1,6}[ \t]+")
 BULLET = re.compile(r"^[ \t]*(?:[-+*•‣·–]|\d{1,3}[.):]|[a-z][.)]|\[[ xX]\])[ \t]+")
-# Whole tokens (no white space around is left out): words with a sentence's punctuation, numbers, words with any signs.
-PLAIN = re.compile(r"(?<!\S)['\"“„(‘»«¿¡*_]*(?:(?P<word>[^\W\d_]+(?:['’\-][^\W\d_]+)*)|(?P<number>\d+(?:[.,]\d+)*))[.,;:!?)'\"”’»«…*_]*(?!\S)")
+# Whole tokens (no white space around is left out) that are a word with any signs around it.
 LETTERS = re.compile(r"(?<!\S)[^\w\s]*[^\W\d_]+(?:['’\-][^\W\d_]+)*[^\w\s]*(?!\S)")
 END = re.compile(r"[.!?:;…。！？]['\"”’»)\]]*\s*$")
+BLANK = re.compile(r"\n[ \t]*\n")
 CUT = re.compile(r"(?:…|\.\.\.)\s*$")
 CODE = re.compile(r"[{};]\s*$|^\s*(?:function|const|let|var|return|import|export|class|def|if|for|while|case|default|try|catch|break)\b.*[({;:=]|=>|^\s*[@+\-]{1,3} |^\s*at .*\(.*:\d+|^\s*\|.*\|\s*$|^[^\w\s]*$|^\s*[\w.\-/]+\s*[=:]\s*\S+$|^\d{4}-\d\d-\d\d|\t.*\t")
 
 STATISTICS = (
     "n_chars long, n_words long, n_lines int, mean_word double, word_spread double, symbol_ratio double, digit_ratio double, letter_ratio double, upper_ratio double,"
     " line_end_share double, bullet_share double, cut_share double, mean_line_words double, short_line_share double, common_share double, short_word_share double,"
-    " distinct_line_share double, distinct_word_share double, code_line_share double, plain_token_share double, prose_share double, junk_char_ratio double, language string"
+    " distinct_line_share double, distinct_word_share double, code_line_share double, plain_token_share double, junk_char_ratio double, fluent_mass double, common_mass double, spelled_mass double, item_mass double,"
+    " begun_mass double, worded_mass double, varied_mass double, cut_mass double, language string"
 )
-FEATURES = [x.split()[0] for x in STATISTICS.split(", ") if x.split()[0] not in ("n_chars", "n_lines", "language")]
+NAMES = [x.split()[0] for x in STATISTICS.split(", ")]
+#: What the trees see; the weak labels see the rest.
+FEATURES = [x for x in NAMES if x.endswith("_mass")]
 
 
 class Lexicon:
@@ -60,9 +66,9 @@ class Lexicon:
     def language(self, words: list[str]) -> tuple[str | None, float]:
         """The language whose frequent words cover most of the words, and their share; ties go by name."""
         found: dict[str, int] = {}
-        for langs in filter(None, map(self.by.get, words)):
-            for lang in langs:
-                found[lang] = found.get(lang, 0) + 1
+        for langs, k in Counter(map(self.by.get, words)).items():
+            for lang in langs or ():
+                found[lang] = found.get(lang, 0) + k
         if not found:
             return None, 0.0
         lang = min(found, key=lambda x: (-found[x], x))
@@ -73,51 +79,38 @@ class Line(NamedTuple):
     """A line with what is asked of it more than once."""
 
     text: str
+    low: list[str]  # its words in lower case
     words: int
+    tokens: int
+    lettered: int  # tokens that are a word with any signs around it
     bullet: bool
     code: bool  # looks like code, a log or a table
     cut: bool  # ends in an ellipsis
+    ended: bool  # ends like a sentence
+    capital: bool  # its first letter is one
+    said: tuple[list[str], int, int]  # words, tokens, lettered ones without marks, tags and links
 
 
 def line_of(text: str) -> Line:
-    return Line(text, len(WORD.findall(text)), BULLET.match(text) is not None, CODE.search(text) is not None, CUT.search(text) is not None)
-
-
-def is_prose(lines: list[Line], lexicon: Lexicon) -> bool:
-    """Whether a block of lines reads as sentences, whatever its wrapping, marks and language."""
-    if sum(x.bullet for x in lines) > 0.5 * len(lines) and sum(x.words for x in lines) < 9 * len(lines):
-        return False
-    if sum(x.code and x.words < 12 for x in lines) > 0.4 * len(lines):
-        return False
-    if len(lines) >= 2 and sum(x.cut and x.words < 6 for x in lines) > 0.5 * len(lines):
-        return False
-    text = LINK.sub(" ", TAG.sub(" ", " ".join(MARK.sub("", x.text) for x in lines)))
-    tokens = TOKEN.findall(text)
-    words = [w.lower() for w in WORD.findall(text)]
-    if len(words) < 5 or CUT.search(text) and len(words) < 6:
-        return False
-    chars = Counter("".join(tokens))
-    letters = sum(k for c, k in chars.items() if c.isalpha()) / max(sum(chars.values()), 1)
-    kinds = Counter(m.lastgroup for m in PLAIN.finditer(text))
-    # numbers belong to sentences, as long as they are few
-    plain = (kinds["word"] + min(kinds["number"], 0.2 * len(tokens))) / len(tokens)
-    _, common = lexicon.language(words)
-    commas = sum(t.endswith(",") for t in tokens) / len(tokens)
-    if letters < 0.75 or plain < 0.6 or commas > 0.5:
-        return False
-    # short lines that each begin anew are entries of a menu or list; the lines of wrapped text go on
-    begins = sum(next((c for c in x.text if c.isalpha()), "").isupper() for x in lines)
-    if len(lines) >= 3 and len(words) < 4.5 * len(lines) and begins > 0.5 * len(lines):
-        return False
-    if common >= 0.2:
-        return True
-    if len(words) < 8 or plain < 0.8 or letters < 0.8 or commas >= 0.25 or len(set(words)) < 0.4 * min(len(words), 60):
-        return False
-    # a special vocabulary between frequent words, or another language: short words between longer ones
-    short = sum(len(w) <= 3 for w in words) / len(words)
-    mean = sum(map(len, words)) / len(words)
-    spread_of_lengths = math.sqrt(sum((len(w) - mean) ** 2 for w in words) / len(words))
-    return common >= 0.1 or 0.2 <= short <= 0.65 and len(words) >= 12 and spread_of_lengths >= 2
+    low = WORD.findall(text.lower())
+    tokens, lettered = len(text.split()), len(LETTERS.findall(text))
+    clean = MARK.sub("", text)
+    if "<" in text or "[" in text or "http" in text:
+        clean = LINK.sub(" ", TAG.sub(" ", clean))
+        said = WORD.findall(clean.lower()), len(clean.split()), len(LETTERS.findall(clean))
+    elif clean != text:
+        said = low, len(clean.split()), lettered  # marks hold no words
+    else:
+        said = low, tokens, lettered
+    first = next((c for c in text if c.isalpha()), "")
+    return Line(text, low, len(low), tokens, lettered, BULLET.match(text) is not None, CODE.search(text) is not None, CUT.search(text) is not None, END.search(text) is not None, first.isupper(), said)
+
+
+def moments(lengths: Counter) -> tuple[float, float]:
+    """Mean and standard deviation of counted lengths; zeros for none."""
+    count = max(sum(lengths.values()), 1)
+    mean = sum(x * k for x, k in lengths.items()) / count
+    return mean, math.sqrt(sum(k * (x - mean) ** 2 for x, k in lengths.items()) / count)
 
 
 def distinct_share(words: list[str], window: int = 400) -> float:
@@ -125,55 +118,78 @@ def distinct_share(words: list[str], window: int = 400) -> float:
     return sum(len(set(words[k : k + window])) for k in range(0, len(words), window)) / max(len(words), 1)
 
 
+def masses(blocks: list[list[Line]], lexicon: Lexicon) -> list[float]:
+    """Shares of a text's characters in runs of lines with a property, in the order of FEATURES.
+
+    A line that the text has three times or more tells nothing new in the blocks behind the first that holds it: there
+    it counts as characters, but has none of the properties.
+    """
+    total = 0
+    sums = [0] * len(FEATURES)
+    seen = Counter(x.text.strip() for block in blocks for x in block)
+    counted: set[str] = set()
+    for block in blocks:
+        total += sum(len(x.text) for x in block)
+        fresh = [x for x in block if seen[x.text.strip()] < 3 or x.text.strip() not in counted]
+        counted.update(x.text.strip() for x in block)
+        for run in runs(fresh):
+            size = sum(len(x.text) for x in run)
+            words = [w for x in run for w in x.said[0]]
+            n, tokens = max(len(words), 1), max(sum(x.said[1] for x in run), 1)
+            lengths = Counter(map(len, words))
+            short = sum(k for x, k in lengths.items() if x <= 3) / n
+            holds = (
+                0.2 <= short <= 0.65 and moments(lengths)[1] >= 1.7,  # short words between longer ones, as in any language
+                sum(map(lexicon.by.__contains__, words)) >= 0.15 * n,
+                sum(x.said[2] for x in run) >= 0.7 * tokens,
+                item(run[0]),
+                len(run) >= 3 and n < 4.5 * len(run) and sum(x.capital for x in run) > 0.5 * len(run),  # lines of wrapped text go on
+                len(words) >= 8,
+                len(set(words)) >= 0.4 * min(n, 60),
+            )
+            for i, h in enumerate(holds):
+                sums[i] += size * h
+            sums[-1] += sum(len(x.text) for x in run if x.cut and x.words < 6)
+    return [x / max(total, 1) for x in sums]
+
+
 def statistics(text: str | None, lexicon: Lexicon) -> tuple:
     """The statistics of a text in the order of STATISTICS; blank texts have zeros and no language."""
     text = (text or "").replace("\r\n", "\n").replace("\r", "\n")
-    lines = [x for x in text.split("\n") if x.strip()]
-    words = WORD.findall(text)
-    low = [w.lower() for w in words]
+    infos = {x: line_of(x) for x in set(text.split("\n")) if x.strip()}
+    blocks = [[infos[x] for x in block.split("\n") if x in infos] for block in BLANK.split(text)]
+    lines = [x for block in blocks for x in block]
+    words = [w for x in lines for w in x.low]
     dense = "".join(text.split())
     n, size, count = max(len(lines), 1), max(len(dense), 1), max(len(words), 1)
     chars = Counter(dense)
     of = lambda f: sum(k for c, k in chars.items() if f(c))
     letters, digits = of(str.isalpha), of(str.isdigit)
-    lengths = [len(w) for w in words]
-    mean = sum(lengths) / count
-    lang, common = lexicon.language(low)
-    tokens = TOKEN.findall(text)
-    infos = {x: line_of(x) for x in set(lines)}
-    per_line = [infos[x].words for x in lines]
-    seen = Counter(x.strip() for x in lines)
-    prose = total = 0
-    counted: set[str] = set()
-    for block in re.split(r"\n[ \t]*\n", text):
-        part = [x for x in block.split("\n") if x.strip()]
-        if not part:
-            continue
-        total += sum(len(x) for x in part)
-        # what repeats a line word for word tells nothing new
-        fresh = [x for x in part if seen[x.strip()] < 3 or x.strip() not in counted]
-        counted.update(x.strip() for x in part)
-        for run in runs([infos[x] for x in fresh]):
-            if is_prose(run, lexicon):
-                prose += sum(len(x.text) for x in run)
-    junk = of(lambda c: not c.isprintable() or c in "�¶¤" or 0x80 <= ord(c) < 0xC0)
+    lengths = Counter(map(len, words))
+    mean, spread_of_lengths = moments(lengths)
+    lang, common = lexicon.language(words)
+    junk = of(lambda c: not c.isprintable() or c in "\ufffd¶¤" or 0x80 <= ord(c) < 0xC0)
     return (
-        len(text), len(words), len(lines), mean, math.sqrt(sum((x - mean) ** 2 for x in lengths) / count),
+        len(text), len(words), len(lines), mean, spread_of_lengths,
         (len(dense) - letters - digits) / size, digits / size, letters / size, of(str.isupper) / max(letters, 1),
-        sum(bool(END.search(x)) for x in lines) / n, sum(infos[x].bullet for x in lines) / n, sum(infos[x].cut for x in lines) / n,
-        sum(per_line) / n, sum(x < 4 for x in per_line) / n, common, sum(x <= 3 for x in lengths) / count,
-        len(seen) / n, distinct_share(low), sum(infos[x].code for x in lines) / n,
-        len(LETTERS.findall(text)) / max(len(tokens), 1),
-        prose / max(total, 1), junk / size, lang,
+        sum(x.ended for x in lines) / n, sum(x.bullet for x in lines) / n, sum(x.cut for x in lines) / n,
+        len(words) / n, sum(x.words < 4 for x in lines) / n, common, sum(k for x, k in lengths.items() if x <= 3) / count,
+        len({x.text.strip() for x in lines}) / n, distinct_share(words), sum(x.code for x in lines) / n,
+        sum(x.lettered for x in lines) / max(sum(x.tokens for x in lines), 1), junk / size, *masses(blocks, lexicon), lang,
     )
 
 
+def item(x: Line) -> bool:
+    """Whether a line is an entry of a list, code or the like."""
+    return x.bullet or x.code and x.words < 12
+
+
 def runs(lines: list[Line]) -> Iterator[list[Line]]:
     """A block's lines in runs of one kind: items of lists, code and the like, apart from text between them."""
     run: list[Line] = []
     kind = None
     for x in lines:
-        k = "item" if x.bullet else "code" if x.code and x.words < 12 else "text"
+        k = "bullet" if x.bullet else item(x)
         if run and k != kind:
             yield run
             run = []
@@ -187,15 +203,19 @@ def runs(lines: list[Line]) -> Iterator[list[Line]]:
 
 
 def weak_labels(x: pd.DataFrame) -> np.ndarray:
-    """1 junk, 0 prose, -1 where the rules are silent or disagree too much."""
+    """1 junk, 0 prose, -1 where the rules are silent or are not two votes apart.
+
+    The rules look at single statistics of the whole document and at no feature of the trees. Lines that break off are
+    made of words as prose is, so that this vote outweighs those for its words.
+    """
     junk = (
-        2 * (x.prose_share <= 0.42).astype(int) + (x.symbol_ratio >= 0.2) + (x.digit_ratio >= 0.15) + (x.bullet_share >= 0.6) + (x.code_line_share >= 0.6)
-        + (x.distinct_line_share <= 0.5) + (x.mean_line_words < 3.5) + (x.common_share < 0.12) + (x.plain_token_share < 0.5) + (x.junk_char_ratio > 0.1) + (x.n_words < 3)
+        5 * (x.cut_share >= 0.5).astype(int) + 2 * ((x.short_word_share < 0.1) | (x.n_words < 3)) + (x.word_spread < 1.4) + (x.symbol_ratio >= 0.2) + (x.digit_ratio >= 0.15) + (x.bullet_share >= 0.6)
+        + (x.code_line_share >= 0.6) + (x.distinct_line_share <= 0.5) + (x.mean_line_words < 3.5) + (x.common_share < 0.12) + (x.plain_token_share < 0.5) + (x.letter_ratio < 0.75) + (x.junk_char_ratio > 0.1)
+    )
+    prose = (
+        (x.common_share >= 0.3).astype(int) + (x.plain_token_share >= 0.85) + (x.mean_line_words >= 8) + x.word_spread.between(1.7, 3.5) + x.short_word_share.between(0.25, 0.65)
     )
-    prose = 2 * (x.prose_share >= 0.58).astype(int) + (x.common_share >= 0.3) + (x.plain_token_share >= 0.85) + (x.line_end_share >= 0.7) + (x.mean_line_words >= 8)
-    vote = np.where((junk >= 3) & (junk > prose), 1, np.where((prose >= 3) & (prose > junk), 0, -1))
-    # the share of prose is a matter of half and half: what lies clearly on one side is labelled by it
-    return np.where((vote == 0) & (x.prose_share < 0.5) | (vote == 1) & (x.prose_share > 0.5), -1, vote)
+    return np.where((junk >= 2) & (junk >= prose + 2), 1, np.where((prose >= 3) & (prose >= junk + 2), 0, -1))
 
 
 # ---- gradient-boosted trees ----
@@ -300,26 +320,44 @@ def matrix(x: pd.DataFrame) -> np.ndarray:
     return x[FEATURES].to_numpy(dtype=float)
 
 
+#: Labelled examples of either kind below which the seeds train as well.
+FEW = 20
+
+
+def described(texts: list[tuple[str, bool]], lexicon: Lexicon) -> tuple[pd.DataFrame, np.ndarray]:
+    """Statistics of labelled texts (text, whether it is prose), and 1 for junk."""
+    return pd.DataFrame([statistics(t, lexicon) for t, _ in texts], columns=NAMES), np.array([int(not prose) for _, prose in texts])
+
+
 def train(sample: pd.DataFrame, lexicon: Lexicon) -> Trees:
-    """Fit on the sample's weak labels, calibrate on the holdout. With too few examples of either kind the holdout trains too."""
-    names = [x.split()[0] for x in STATISTICS.split(", ")]
-    held = pd.DataFrame([statistics(t, lexicon) for t, _ in HOLDOUT], columns=names)
-    truth = np.array([int(not prose) for _, prose in HOLDOUT])
+    """Fit on the sample's weak labels, calibrate on the holdout, which never trains.
+
+    With too few examples of either kind the seeds train too, texts by the author of the rules. Prose trains a
+    second time as if its language had no dictionary, for prose in other languages is prose.
+    """
     y = weak_labels(sample) if len(sample) else np.array([], dtype=int)
-    x = sample[y >= 0] if len(sample) else sample
-    if min((y == 1).sum(), (y == 0).sum()) < 20:
-        x, y = pd.concat([x, held], ignore_index=True), np.concatenate([y[y >= 0], truth])
-    else:
-        y = y[y >= 0]
+    x, y = sample[y >= 0] if len(sample) else sample, y[y >= 0]
+    if min((y == 1).sum(), (y == 0).sum()) < FEW:
+        seeds, truth = described(SEEDS, lexicon)
+        x, y = pd.concat([x, seeds], ignore_index=True), np.concatenate([y, truth])
+    held, truth = described(HOLDOUT, lexicon)
+    x, y = pd.concat([x, x[y == 0].assign(common_mass=0.0)], ignore_index=True), np.concatenate([y, y[y == 0]])
     return Trees().fit(matrix(x), y.astype(float)).calibrate(matrix(held), truth)
 
 
 # ---- operators ----
 
 
+#: Frequent words that the dictionary may hold; it travels to every task.
+DICTIONARY = 50_000
+
+
 def lexicon_of(common_words: DataFrame) -> Lexicon:
-    """The frequent words; a dictionary of a few hundred words per language, of which 50,000 are taken at most."""
-    return Lexicon([(r.lang, r.word) for r in common_words.select("lang", "word", "freq_rank").distinct().orderBy("freq_rank", "lang", "word").limit(50_000).collect()])
+    """The frequent words, a dictionary of a few hundred per language; one beyond the bound is refused, never cut."""
+    rows = common_words.select("lang", "word").where("lang IS NOT NULL AND word IS NOT NULL").distinct().limit(DICTIONARY + 1).collect()
+    if len(rows) > DICTIONARY:
+        raise ValueError(f"a dictionary of more than {DICTIONARY} frequent words")
+    return Lexicon([(r.lang, r.word) for r in rows])
 
 
 def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
@@ -327,9 +365,8 @@ def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFr
     lexicon = lexicon_of(common_words)
 
     def f(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", *(x.split()[0] for x in STATISTICS.split(", "))]
         for frame in frames:
-            yield pd.DataFrame([(i, *statistics(t, lexicon)) for i, t in zip(frame.doc_id, frame.text)], columns=names)
+            yield pd.DataFrame([(i, *statistics(t, lexicon)) for i, t in zip(frame.doc_id, frame.text)], columns=["doc_id", *NAMES])
 
     return spread(documents.select("doc_id", "text"), "doc_id").dropDuplicates(["doc_id"]).mapInPandas(f, f"doc_id long, {STATISTICS}")
 
