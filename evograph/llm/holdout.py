@@ -1,6 +1,6 @@
 """Texts marked by hand as running prose or not.
 
-SEEDS were written by the author of the rules and train where a corpus yields too few examples. HOLDOUT calibrates and
+SEEDS were written by the author of the rules and train beside a corpus. HOLDOUT calibrates and
 never trains: its texts are by other hands, found on an ordinary Linux system (licences of the FSF, the ASF, Mozilla and
 others, documentation of Python, bash and Debian, tables and configuration files), and were marked after the rules were fixed.
 """

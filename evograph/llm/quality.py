@@ -320,26 +320,21 @@ def matrix(x: pd.DataFrame) -> np.ndarray:
     return x[FEATURES].to_numpy(dtype=float)
 
 
-#: Labelled examples of either kind below which the seeds train as well.
-FEW = 20
-
-
 def described(texts: list[tuple[str, bool]], lexicon: Lexicon) -> tuple[pd.DataFrame, np.ndarray]:
     """Statistics of labelled texts (text, whether it is prose), and 1 for junk."""
     return pd.DataFrame([statistics(t, lexicon) for t, _ in texts], columns=NAMES), np.array([int(not prose) for _, prose in texts])
 
 
 def train(sample: pd.DataFrame, lexicon: Lexicon) -> Trees:
-    """Fit on the sample's weak labels, calibrate on the holdout, which never trains.
+    """Fit on the sample's weak labels and on the seeds, calibrate on the holdout, which never trains.
 
-    With too few examples of either kind the seeds train too, texts by the author of the rules. Prose trains a
+    The seeds are texts by the author of the rules, of kinds that a small corpus may lack. Prose trains a
     second time as if its language had no dictionary, for prose in other languages is prose.
     """
     y = weak_labels(sample) if len(sample) else np.array([], dtype=int)
     x, y = sample[y >= 0] if len(sample) else sample, y[y >= 0]
-    if min((y == 1).sum(), (y == 0).sum()) < FEW:
-        seeds, truth = described(SEEDS, lexicon)
-        x, y = pd.concat([x, seeds], ignore_index=True), np.concatenate([y, truth])
+    seeds, truth = described(SEEDS, lexicon)
+    x, y = pd.concat([x, seeds], ignore_index=True), np.concatenate([y, truth])
     held, truth = described(HOLDOUT, lexicon)
     x, y = pd.concat([x, x[y == 0].assign(common_mass=0.0)], ignore_index=True), np.concatenate([y, y[y == 0]])
     return Trees().fit(matrix(x), y.astype(float)).calibrate(matrix(held), truth)
