@@ -14,13 +14,14 @@ tasks, behind a check of its size. Beyond the bound the items are searched for i
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import cut, spread
 
 #: Words of a pattern; 20 words with one in eight changed in two stretches hold a run of four, and a second.
 PATTERN = 4
@@ -45,19 +46,38 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in TOKEN.findall(WRAP.sub("\n", TAGS.sub(" ", text)))]
 
 
-def item_words(items: list[tuple[int, str | None, str | None]]) -> dict[int, list[str]]:
-    """Words of each item, its question and answer read on; sentences that many items share are left out."""
-    sentences = {i: [s for part in (q, a) for s in re.split(r"(?<=[.?!])\s+", (part or "").strip()) if s] for i, q, a in items}
-    count = Counter(tuple(words(s)) for ss in sentences.values() for s in {*ss})
-    most = max(2, SHARED * len(sentences))
-    return {i: [w for s in ss if count[tuple(words(s))] <= most for w in words(s)] for i, ss in sentences.items()}
+def sentences(question: str | None, answer: str | None) -> list[list[str]]:
+    """The words of each sentence of an item, its question and answer read on."""
+    return [words(s) for part in (question, answer) for s in re.split(r"(?<=[.?!])\s+", (part or "").strip()) if s]
+
+
+def prepare(items: DataFrame) -> DataFrame:
+    """Rows (item_id, words, own): an item's words without shared instructions, and the places of the patterns that no
+    other place of any item has. Counted over all items, so that blocks of them don't matter."""
+    rows = items.select("item_id", "question", "answer").dropDuplicates(["item_id"]).where("item_id IS NOT NULL")
+
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [(i, n, ws) for i, q, a in zip(f.item_id, f.question, f.answer) for n, ws in enumerate(sentences(q, a))]
+            yield pd.DataFrame(found, columns=["item_id", "n", "ws"])
+
+    said = rows.mapInPandas(split, "item_id long, n int, ws array<string>").where(F.size("ws") > 0)
+    total = rows.agg(F.greatest(F.lit(2.0), F.lit(SHARED) * F.count("*")).alias("most"))
+    shared = said.select("item_id", "ws").distinct().groupBy("ws").agg(F.count("*").alias("k")).join(F.broadcast(total), F.col("k") > F.col("most"), "left_semi")  # against one row
+    kept = said.join(shared.select("ws"), "ws", "left_anti")
+    whole = kept.groupBy("item_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "ws"))), lambda x: x["ws"])).alias("words"))  # an item's sentences
+    runs = whole.where(F.size("words") >= PATTERN).select("item_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - PATTERN)).alias("at"))
+    runs = runs.select("item_id", "at", F.xxhash64(*[F.get("words", F.col("at") + i) for i in range(PATTERN)]).alias("run"))
+    own = runs.groupBy("run").agg(F.count("*").alias("k"), F.min("item_id").alias("item_id"), F.min("at").alias("at")).where("k = 1").groupBy("item_id").agg(F.collect_list("at").alias("own"))
+    return whole.join(own, "item_id", "left").select("item_id", "words", F.coalesce("own", F.array().cast("array<int>")).alias("own"))
 
 
 class Tables:
     """Shift table, suffix buckets and patterns of a set of items."""
 
-    def __init__(self, items: dict[int, list[str]]):
+    def __init__(self, items: dict[int, list[str]], own: dict[int, frozenset[int]]):
         self.items = items
+        self.own = own  # places of the patterns that no other place has
         self.shift: dict[tuple[str, str], int] = {}
         self.bucket: dict[tuple[str, str], dict[tuple[str, ...], list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         longest = PATTERN - BLOCK + 1
@@ -159,9 +179,17 @@ def parts(runs: list[Run]) -> Iterator[tuple[int, int, int, int, int]]:
                     yield i, to, j, end, edits
 
 
-def held(item: list[str], text: list[str], seeds: list[tuple[int, int]]) -> tuple[int, int]:
-    """(words of the item that a text holds in one or two stretches, changed or added ones among them)."""
-    ss = list({p for runs in stretches(item, text, seeds) for p in parts(runs)})
+def held(item: list[str], text: list[str], seeds: list[tuple[int, int]], own: frozenset[int]) -> tuple[int, int]:
+    """(words of the item that a text holds in one or two stretches, changed or added ones among them).
+
+    A stretch counts if it holds a run of words that is this item's own: a phrase that several places of the items
+    share doesn't tell that this one leaked.
+    """
+    telling = [(i, j) for i, j in seeds if i in own]
+    ss = [
+        p for p in {p for runs in stretches(item, text, seeds) for p in parts(runs)}
+        if any(p[0] <= i <= p[1] - PATTERN and p[2] <= j <= p[3] - PATTERN for i, j in telling)
+    ]
     best = max(((b - a, -e) for a, b, _, _, e in ss if e * EIGHTH <= b - a), default=(0, 0))
     # two stretches in the item's order: a sweep over the text, with the best stretch so far that ends at or before
     # each place of the item, by what it leaves over of the rate of changes (more than `most` is never needed)
@@ -203,7 +231,7 @@ def document_leaks(tables: Tables, text: str | None) -> list[tuple[int, int, int
     for i, ss in seeds.items():
         if len(ss) < 2 or len({a + k for a, _ in ss for k in range(PATTERN)}) < 8:
             continue
-        n, changed = held(tables.items[i], ws, ss)
+        n, changed = held(tables.items[i], ws, ss, tables.own[i])
         if n >= WORDS and changed * EIGHTH <= n:
             out.append((i, n, changed))
     return out
@@ -216,19 +244,19 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     texts hold nothing, items shorter than the 20 words can't leak. Other columns are ignored.
     """
     # the held-out items are a small fixed set; a table beyond the bound is taken in blocks, never at once
-    rows = items.select("item_id", "question", "answer").dropDuplicates(["item_id"]).where("item_id IS NOT NULL")
+    rows = cut(prepare(items))
     n = rows.count()
     docs = spread(documents.select("doc_id", "text").where("text <> ''"), "doc_id").dropDuplicates(["doc_id"])
     blocks = max(1, -(-n // ITEMS))
     out = None
     for b in range(blocks):
-        part = [(r.item_id, r.question, r.answer) for r in rows.where(f"pmod(xxhash64(item_id), {blocks}) = {b}").toLocalIterator()]
-        tables = Tables(item_words(part))
-        shared = documents.sparkSession.sparkContext.broadcast((tables.items, tables.shift, tables.bucket, tables.default))
+        part = list(rows.where(f"pmod(xxhash64(item_id), {blocks}) = {b}").toLocalIterator())
+        tables = Tables({r.item_id: list(r.words) for r in part}, {r.item_id: frozenset(r.own) for r in part})
+        shared = documents.sparkSession.sparkContext.broadcast((tables.items, tables.own, tables.shift, tables.bucket, tables.default))
 
         def search(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            t = Tables({})
-            t.items, t.shift, t.bucket, t.default = shared.value
+            t = Tables({}, {})
+            t.items, t.own, t.shift, t.bucket, t.default = shared.value
             for f in frames:
                 found = [(d, *x) for d, text in zip(f.doc_id, f.text) for x in document_leaks(t, text)]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "held", "changed"])

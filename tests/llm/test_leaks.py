@@ -1,6 +1,8 @@
 import random
 
-from evograph.llm.leaks import Tables, document_leaks, held, item_words, leaks, parts, stretches, words
+from collections import Counter
+
+from evograph.llm.leaks import Tables, document_leaks, held, leaks, parts, prepare, sentences, stretches, words
 
 RNG = random.Random(7)
 VOCAB = [a + b for a in ("ka", "lo", "mi", "ne", "ru", "sa", "to", "vi") for b in ("bar", "den", "fil", "gos", "hem", "jup", "kar", "lom", "mun", "nop")]
@@ -12,8 +14,19 @@ def sentence(n):
 
 
 ITEMS = [(i, sentence(15) + " " + RULE, sentence(20) + " " + sentence(15)) for i in range(60)]
-T = Tables(item_words(ITEMS))
-W = {i: item_words(ITEMS)[i] for i, *_ in ITEMS}
+
+
+def prepared(items):
+    """Words and own places of items, in plain Python."""
+    said = {i: [tuple(ws) for ws in sentences(q, a)] for i, q, a in items}
+    many = Counter(s for ss in said.values() for s in set(ss))
+    w = {i: [x for s in ss if many[s] <= max(2, 0.05 * len(items)) for x in s] for i, ss in said.items()}
+    runs = Counter(tuple(ws[k : k + 4]) for ws in w.values() for k in range(len(ws) - 3))
+    return w, {i: frozenset(k for k in range(len(ws) - 3) if runs[tuple(ws[k : k + 4])] == 1) for i, ws in w.items()}
+
+
+W, OWN = prepared(ITEMS)
+T = Tables(W, OWN)
 PROSE = "The build was slow again this week because nobody cleaned the cache after the release. "
 
 
@@ -61,7 +74,7 @@ def test_table(spark):
 
 
 def found(item, text):
-    t = Tables({1: item})
+    t = Tables({1: item}, {1: frozenset(range(len(item)))})
     return {x[0]: x[1:] for x in document_leaks(t, " ".join(text))}
 
 
@@ -96,5 +109,28 @@ def test_pairs_are_brute_force():
         one = [(b - a, -e) for a, b, _, _, e in ss]
         two = [(b - a + y - x - max(b - x, 0), -e - f) for a, b, _, d, e in ss for x, y, c, _, f in ss if c >= d - 2 and x >= b - 2 and (a, y) != (x, b)]
         want = max(((n, e) for n, e in one + two if -e * 8 <= n), default=(0, 0))
-        n, e = held(item, text, seeds)
+        n, e = held(item, text, seeds, frozenset(range(50)))
         assert (n, -e) == want
+
+
+def test_stock_phrases_are_no_evidence(spark):
+    stock, other = [f"s{n}" for n in range(10)], [f"x{n}" for n in range(30)]
+    one, two = [f"a{n}" for n in range(30)], [f"b{n}" for n in range(30)]
+    items = [(1, " ".join(one + stock), None), (2, " ".join(two[:5] + stock + two[5:]), None)]
+    w, own = prepared(items)
+    df = spark.createDataFrame(items + items[:1], "item_id long, question string, answer string")
+    assert {r.item_id: (list(r.words), frozenset(r.own)) for r in prepare(df).collect()} == {i: (w[i], own[i]) for i in w}
+    t = Tables(w, own)
+    # ten own words and ten of a phrase that both items have are not two stretches of the item
+    assert document_leaks(t, " ".join(one[:12] + other + stock)) == []
+    assert [x[0] for x in document_leaks(t, " ".join(one[:12] + other + one[20:] + stock))] == [1]
+
+
+def test_shared_sentences_are_counted_over_all_items(spark, monkeypatch):
+    from evograph.llm import leaks as module
+
+    docs = spark.createDataFrame([(n, text) for n, (_, text, _) in enumerate(cases())], "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, question string, answer string")
+    whole = {tuple(r) for r in leaks(docs, items).collect()}
+    monkeypatch.setattr(module, "ITEMS", 25)
+    assert {tuple(r) for r in leaks(docs, items).collect()} == whole
