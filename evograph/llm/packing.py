@@ -5,9 +5,9 @@ Vector best fit: an item and the room left in a container are vectors of tokens,
 size; of the containers that can take an item under every constraint it goes to the one whose weighted
 residual is smallest afterwards, and to a new one if there is none.
 
-Groups of a bounded number of items are packed in parallel. Containers that came out all but full are final;
-the rest are opened again and their items packed together in fewer groups, until one group is left. Only texts
-larger than a container are split, into full pieces and a rest.
+Groups of a bounded number of items are packed in parallel. Containers that came out all but full by any capacity are
+final; the rest are opened again and their items packed together in fewer groups, until one group is left or a
+round leaves nearly all its items over. Only texts larger than a container are split, into full pieces and a rest.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ class Container:
     attention: float = 1.0  # of the cost of one text that fills the container
     weights: tuple[float, float, float] = (1.0, 0.05, 0.1)  # of the residuals of tokens, documents, attention
     group: int = 20_000  # items that are packed in one task, at most
-    full: float = 0.998  # share of tokens from which a container is final
-    rounds: int = 5
+    full: float = 0.998  # share of any capacity from which a container is final
+    shrink: float = 0.9  # share of its items, at most, that a round may leave over for another one to be worth it
 
 
 def token_counter(path: str):
@@ -110,7 +110,7 @@ def best_fit(tokens: np.ndarray, c: Container) -> np.ndarray:
     return out
 
 
-_PACKED = "grp int, bin long, doc_id long, piece int, first_token long, tokens long, filled long"
+_PACKED = "grp int, bin long, doc_id long, piece int, first_token long, tokens long, filled long, done boolean"
 
 
 def pack(documents: DataFrame, container: Container = Container(), tokenizer: str | None = None) -> DataFrame:
@@ -135,36 +135,50 @@ def pack(documents: DataFrame, container: Container = Container(), tokenizer: st
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
         frame["bin"] = best_fit(frame.tokens.to_numpy(), c)
-        frame["filled"] = frame.groupby("bin").tokens.transform("sum")
-        return frame[["grp", "bin", "doc_id", "piece", "first_token", "tokens", "filled"]]
+        in_bin = frame.groupby("bin").tokens
+        frame["filled"] = in_bin.transform("sum")
+        cost = (frame.tokens.astype(float) ** 2).groupby(frame.bin).transform("sum")
+        frame["done"] = (frame.filled >= c.full * c.tokens) | (in_bin.transform("size") >= c.full * c.documents) | (cost >= c.full * c.attention * c.tokens**2)
+        return frame[["grp", "bin", "doc_id", "piece", "first_token", "tokens", "filled", "done"]]
 
     done = none
     todo = pieces
-    for turn in range(c.rounds):
-        n = todo.count()
-        if n == 0:
-            break
+    turn, before = 0, None
+    while (n := todo.count()) > 0:
         groups = -(-n // c.group)
         packed = cut(
             todo.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(groups)).cast("int")).groupBy("grp").applyInPandas(one, _PACKED)
         )
-        last = groups == 1 or turn == c.rounds - 1
-        final = packed if last else packed.where(F.col("filled") >= c.full * c.tokens)
+        last = groups == 1 or before is not None and n > c.shrink * before
+        final = packed if last else packed.where("done")
         done = done.unionByName(
             final.select(F.concat_ws(".", F.lit(str(turn)), F.col("grp").cast("string"), F.col("bin").cast("string")).alias("container"), "doc_id", "piece", "first_token", "tokens", "filled")
         )
         if last:
             break
-        todo = packed.where(F.col("filled") < c.full * c.tokens).select("doc_id", "piece", "first_token", "tokens")
+        todo = packed.where("NOT done").select("doc_id", "piece", "first_token", "tokens")
+        turn, before = turn + 1, n
     return done
 
 
 def packing_summary(packed: DataFrame, container: Container = Container()) -> DataFrame:
-    """One row: documents, tokens, containers, the least number there can be, the fill rate and split documents."""
+    """One row: documents, tokens, containers, the least number there can be, fill rates and split documents.
+
+    The least number is the largest of those that tokens, documents and attention cost need by themselves; a text
+    beyond the attention capacity counts as one that takes all of it. The fill rates are the shares of the containers' tokens,
+    documents and attention cost that are used.
+    """
+    c = container
+    room = float(c.attention * c.tokens**2)
+    cost = F.least(F.col("tokens").cast("double") * F.col("tokens"), F.lit(room))
     per = packed.where("container IS NOT NULL")
-    used = per.agg(F.countDistinct("container").alias("containers"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.countDistinct("doc_id").alias("documents"))
+    used = per.agg(
+        F.countDistinct("container").alias("containers"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.countDistinct("doc_id").alias("documents"),
+        F.count("*").alias("pieces"), F.coalesce(F.sum(cost), F.lit(0.0)).alias("cost"),
+    )
     split = per.where("piece > 0").agg(F.countDistinct("doc_id").alias("split_documents"))
-    least = F.ceil(F.col("tokens") / container.tokens)
+    least = F.greatest(F.ceil(F.col("tokens") / c.tokens), F.ceil(F.col("pieces") / c.documents), F.ceil(F.col("cost") / room))
+    rate = lambda x, most: F.round(F.try_divide(F.col(x), F.col("containers") * F.lit(most)), 6)
     return used.crossJoin(F.broadcast(split)).select(  # one row beside one row
-        "documents", "split_documents", "tokens", "containers", least.alias("least_containers"), F.round(F.try_divide(F.col("tokens"), F.col("containers") * container.tokens), 6).alias("fill_rate")
+        "documents", "split_documents", "tokens", "containers", least.alias("least_containers"), rate("tokens", c.tokens).alias("fill_rate"), rate("pieces", c.documents).alias("document_rate"), rate("cost", room).alias("attention_rate")
     )

@@ -77,6 +77,19 @@ def p6_summary(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_summary(p6_containers(spark, d))
 
 
+#: Containers in which all three capacities bind: many short texts, or a few long ones, fill them before their tokens do.
+TIGHT = packing.Container(documents=16, attention=0.25)
+
+
+def p6_tight(spark: SparkSession, d: str) -> DataFrame:
+    """Packing under tokens, documents and attention cost that bind."""
+    return packing.pack(table(spark, d, "documents"), TIGHT)
+
+
+def p6_tight_summary(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_summary(p6_tight(spark, d), TIGHT)
+
+
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 

@@ -49,7 +49,7 @@ def test_table(spark):
     rows = [(i, "word " * rng.choice([1, 3, 20, 90, 300, 700])) for i in range(400)] + [(1000, "word " * 20_000), (1001, None), (1002, ""), (1003, "w" * 3000)]
     df = spark.createDataFrame(rows + rows[:10], "doc_id long, text string").selectExpr("*", "1 AS tokens", "'x' AS container")
     size = {r.doc_id: r.tokens for r in sizes(df).collect()}
-    for c in (Container(), Container(group=50, documents=10), Container(tokens=512)):
+    for c in (Container(), Container(group=50, documents=10), Container(tokens=512), Container(group=40, documents=6, attention=0.25)):
         got = pack(df, c).collect()
         assert {r.doc_id for r in got if r.container is None} == {1001, 1002} == {i for i, n in size.items() if n == 0}
         pieces = {}
@@ -64,7 +64,10 @@ def test_table(spark):
             if r.container:
                 bins.setdefault(r.container, []).append(r)
         assert all(sum(r.tokens for r in b) == b[0].filled <= c.tokens and len(b) <= c.documents for b in bins.values())
+        room = c.attention * c.tokens**2
+        assert all(sum(r.tokens**2 for r in b) <= room or len(b) == 1 for b in bins.values())
         s = packing_summary(pack(df, c), c).collect()[0]
+        assert s.least_containers == max(-(-sum(size.values()) // c.tokens), -(-sum(len(b) for b in bins.values()) // c.documents), -(-sum(min(r.tokens**2, room) for b in bins.values() for r in b) // room))
         assert s.containers == len(bins) and s.tokens == sum(size.values()) and s.split_documents == sum(n > c.tokens for n in size.values())
         if c.documents > 10:
             assert s.containers <= 1.02 * s.least_containers + 1
