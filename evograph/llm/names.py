@@ -45,6 +45,9 @@ SHORT = {"cons": "consulting", "sw": "software", "soft": "software", "sys": "sys
 # Local parts of mails that name a role.
 ROLES = frozenset("noreply no-reply builds build ci bot bots dev devs team dev-team developers admin info root oss support contact hello office mail git github gitlab nobody unknown users user test postmaster webmaster".split())
 
+#: Tokens of a name that handles are made of, any two of them, at most; what has more is a sentence rather than a name.
+TOKENS = 12
+
 #: Names of which one shard may hold before it is divided further.
 SHARD = 2000
 
@@ -151,7 +154,7 @@ def compatible(a: str, b: str) -> bool:
     for x, y in ((ta, tb), (tb, ta)):
         joined = "".join(x)
         # initials, or a handle of letters only
-        if len(y) >= 2 and len(y) <= 4:
+        if 2 <= len(y) <= TOKENS:
             if len(joined) <= 4 and sorted(joined)[: len(y)] == sorted(w[0] for w in y):
                 return True
             if len(joined) <= 4 and "".join(w[0] for w in y) in (joined, joined[::-1]):
@@ -165,7 +168,7 @@ def handles(k: str) -> set[str]:
     """Handles of letters only that a full key can stand behind."""
     t = [w for w in k.split(" ") if len(w) > 1]
     out = set()
-    for f, s in permutations(t, 2) if len(t) <= 4 else ():
+    for f, s in permutations(t, 2) if len(t) <= TOKENS else ():
         out |= {f + s, f[0] + s, s + f[0], f + s[:4], f + s[0], f"{f[0]}|{s}", f"{f}|{s[0]}"}
     # initials of an organisation that owns the mail's domain
     initials = "".join(sorted(w[0] for w in t))
@@ -196,25 +199,22 @@ def weak_handles(name: str | None, mail: str | None) -> list[str]:
 # ---- trie join ----
 
 
-def shards(s: str, level: int = 1) -> list[str]:
-    """Names of the shards of a string. Two strings within one edit meet in one at least, at either level.
+def halves(rest: str, n: int) -> tuple[tuple[str, str], tuple[str, str]]:
+    """(name of the part, what is left) for both halves of a string that is compared with strings of n characters or one more.
 
     One edit can't touch both halves of a string (an exchange across the middle touches the ends of both, so
-    the halves leave out a character there). The shorter string's length decides where the halves end.
+    the halves leave out a character there), and what is left of two strings that agree in a half is within one edit again.
     """
-    out = []
-    for n in {len(s), len(s) - 1}:
-        h = max((n - 1) // 2, 1)
-        first, last = s[:h], s[len(s) - h :]
-        if level == 1:
-            out += [f"<{n} {first}", f">{n} {last}"]
-        else:
-            rest, head = s[h:], s[: len(s) - h]
-            for m in {n - h}:
-                q = max((m - 1) // 2, 1)
-                for r, tag, part in ((rest, "<", first), (head, ">", last)):
-                    out += [f"{tag}{n} {part}<{r[:q]}", f"{tag}{n} {part}>{r[len(r) - q :]}"]
-    return out
+    h = max((n - 1) // 2, 1)
+    return (f"<{rest[:h]}", rest[h:]), (f">{rest[len(rest) - h :]}", rest[: len(rest) - h])
+
+
+def shards(s: str) -> list[tuple[str, str, int]]:
+    """(name, rest, length of the shorter rest) of the shards of a string. Two strings within one edit meet in one at least.
+
+    The shorter string's length decides where the halves end.
+    """
+    return [(f"{n}{part}", rest, n - max((n - 1) // 2, 1)) for n in sorted({len(s), len(s) - 1}) for part, rest in halves(s, n)]
 
 
 def trie(words: list[str]) -> dict:
@@ -273,13 +273,23 @@ def enough(a: str, b: str, least: int) -> bool:
     return not set(x).isdisjoint(y) and all(len(w) > 2 for w in set(x) ^ set(y))
 
 
-def _shard_rows(level: int):
-    def f(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(x, o, k, o == k) for k in frame.k for o in _orders(k) for x in set(shards(o, level))]
-            yield pd.DataFrame(rows, columns=["shard", "typed", "k", "asks"])
+_SHARD = "shard string, rest string, n int, typed string, k string, asks boolean"
+
+
+def _shard_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows = [(*x, o, k, o == k) for k in frame.k for o in _orders(k) for x in set(shards(o))]
+        yield pd.DataFrame(rows, columns=["shard", "rest", "n", "typed", "k", "asks"])
 
-    return f
+
+def _divided(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        rows = [
+            (f"{shard}\x01{part}", left, n - max((n - 1) // 2, 1), typed, k, asks)
+            for shard, rest, n, typed, k, asks in f.itertuples(index=False)
+            for part, left in halves(rest, n)
+        ]
+        yield pd.DataFrame(rows, columns=["shard", "rest", "n", "typed", "k", "asks"])
 
 
 def _join_shard(frame: pd.DataFrame, least: int) -> pd.DataFrame:
@@ -299,17 +309,24 @@ def similar_keys(keys: DataFrame, least: int = 9, shard: int = SHARD) -> DataFra
     """Pairs (a < b) of different keys, one of them within one edit of some order of the other's tokens.
 
     keys: one column k, distinct. Keys shorter than `least` characters are similar by chance more easily, and pair
-    only if a token is equal and the others have three letters at least. A shard of more than `shard` entries is divided by a second half of the rest,
-    which loses no pair, so no task holds an unbounded group.
+    only if a token is equal and the others have three letters at least. A shard of more than `shard` entries is divided by
+    halves of what is left, again and again, which loses no pair, so no task holds an unbounded group: what can't be divided
+    any further differs in three characters at most.
     """
-    schema = "shard string, typed string, k string, asks boolean"
-    one = keys.mapInPandas(_shard_rows(1), schema)
-    size = one.groupBy("shard").count().where("count > 1")
-    cold = one.join(size.where(F.col("count") <= shard).select("shard"), "shard", "left_semi")
-    hot = size.where(F.col("count") > shard).select("shard")
-    again = one.join(hot, "shard", "left_semi").select("k").distinct().mapInPandas(_shard_rows(2), schema)
+    # the rows are kept, for they are counted, joined and perhaps divided
+    rows = cut(keys.mapInPandas(_shard_rows, _SHARD))
+    cold = None
+    while True:
+        size = rows.groupBy("shard", "n").count().where("count > 1")
+        hot = size.where((F.col("count") > shard) & (F.col("n") > 2)).select("shard")
+        some = not hot.isEmpty()
+        now = rows.join(size.where((F.col("count") <= shard) | (F.col("n") <= 2)).select("shard") if some else size.select("shard"), "shard", "left_semi")
+        cold = now if cold is None else cold.unionByName(now)
+        if not some:
+            break
+        rows = cut(rows.join(hot, "shard", "left_semi").mapInPandas(_divided, _SHARD))
     # few bytes, but much work: a set number of tasks, which isn't coalesced by size
-    both = spread(cold.unionByName(again.withColumn("shard", F.concat(F.lit("2"), "shard"))), "shard")
+    both = spread(cold.select("shard", "typed", "k", "asks"), "shard")
     pairs = both.groupBy("shard").applyInPandas(lambda frame: _join_shard(frame, least), "a string, b string")
     return pairs.distinct()
 
@@ -356,7 +373,7 @@ def blocks(name: str) -> tuple[set[str], set[str]]:
         stands |= {"&".join(sorted((x, y))) for v, w in combinations(ws, 2) for x in marks(v) for y in marks(w)}
     joined = "".join(t)
     asks |= {f"={joined}", *("*" + "".join(sorted(joined)[:k]) for k in range(2, 5) if len(joined) <= 4)}
-    if 2 <= len(t) <= 4:
+    if 2 <= len(t) <= TOKENS:
         stands |= {"*" + "".join(sorted(w[0] for w in t)), *(f"={h}" for h in handles(" ".join(t)))}
     return asks, stands
 
