@@ -133,6 +133,9 @@ class Parser:
             names, name = self.added.pop()
             names.discard(name)
 
+    def mark(self, kind, start):
+        """Called for every branch and every binary expression behind its end; recognition alone has no use for it."""
+
     def trial(self, f):
         x = self.save()
         try:
@@ -420,6 +423,7 @@ class Parser:
                 self.fail("bad assignment target")
             self.next()
             self.assign()
+            self.mark("binary", st)
             return None
         if target == "pattern!":
             self.fail("initialiser in an object")
@@ -442,6 +446,7 @@ class Parser:
     def conditional(self):
         t = self.binary(0)
         if self.is_p("?"):
+            self.mark("branch", self.st)
             self.next()
             old, self.no_in = self.no_in, False
             self.no_cond_arrow += 1
@@ -490,6 +495,7 @@ class Parser:
                 self.p = self.st + len(v)
             self.next()
             self.binary(3 if v == "??" else n - 1 if v == "**" else n)
+            self.mark("binary", st)
             t = None
 
     def unary(self):
@@ -1105,21 +1111,23 @@ class Parser:
         self.scopes.pop()
 
     def variables(self, kind, in_for=False):
-        while True:
-            pattern = self.k == "p"
-            self.pattern("var" if kind == "var" else "let")
-            if self.ts:
-                self.eat("!")
-                if self.eat(":"):
-                    self.type()
-            if self.eat("="):
-                self.assign()
-            elif not in_for and not self.ambient and (kind == "const" or pattern):
-                self.fail("initialiser expected")
-            elif in_for and (kind == "const" or pattern) and not (self.is_w("of") or self.is_w("in")):
-                self.fail("initialiser expected")
-            if not self.eat(","):
-                return
+        self.declarator(kind, in_for)
+        while self.eat(","):
+            self.declarator(kind, in_for)
+
+    def declarator(self, kind, in_for):
+        pattern = self.k == "p"
+        self.pattern("var" if kind == "var" else "let")
+        if self.ts:
+            self.eat("!")
+            if self.eat(":"):
+                self.type()
+        if self.eat("="):
+            self.assign()
+        elif not in_for and not self.ambient and (kind == "const" or pattern):
+            self.fail("initialiser expected")
+        elif in_for and (kind == "const" or pattern) and not (self.is_w("of") or self.is_w("in")):
+            self.fail("initialiser expected")
 
     def sub(self, loop=False):
         """The statement behind if, for and the like; no declaration may stand there."""
@@ -1338,6 +1346,7 @@ class Parser:
                 default = True
                 self.next()
             else:
+                self.mark("branch", self.st)
                 self.need("case")
                 self.expr()
             self.need(":")
@@ -1353,6 +1362,7 @@ class Parser:
         self.next()
         self.block()
         if self.is_w("catch"):
+            self.mark("branch", self.st)
             self.next()
             self.scopes.append((set(), set(), False))
             if self.eat("("):
@@ -1695,6 +1705,7 @@ class Parser:
         else:
             self.union()
             if self.is_w("extends") and not self.nl and not self.no_extends:
+                self.mark("branch", self.st)
                 self.next()
                 self.no_extends = True
                 try:

@@ -10,9 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
+from .outline import complexity, lines_of, outline
 
-# Folders and files that a scan leaves out.
-EXCLUDED = r"(?:^|/)(?:node_modules|dist|build|out|coverage|vendor|\.git|\.next|\.nuxt|\.cache|\.turbo|tmp|temp|__snapshots__)/|\.(?:min\.js|d\.ts|map)$"
+# Folders and endings of files that a scan leaves out.
+FOLDERS = (
+    "node_modules", "dist", "build", ".git", "coverage", ".pnpm-store", ".pnpm", "vendor", ".next", ".nuxt", "playwright-report", ".history", "out", ".turbo", ".vercel", ".cache", "temp", ".tmp", "generated", "swagger",
+    "prisma/client",
+)
+ENDINGS = (".d.ts", ".test.ts", ".test.tsx", ".spec.ts", ".spec.tsx", ".generated.ts", ".generated.tsx")
+EXCLUDED = rf"(?:^|/)(?:{'|'.join(map(re.escape, FOLDERS))})/|(?:{'|'.join(map(re.escape, ENDINGS))})$"
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -30,82 +36,90 @@ def language_of(path: Column) -> Column:
     return F.when(ext == "ts", "typescript").when(ext == "tsx", "tsx").when(ext == "jsx", "jsx").otherwise("javascript")
 
 
-IMPORT = r"(?m)^import (?:type )?(?:[^'\";\n]* from )?['\"][^'\"\n]+['\"]"
-BRANCH = re.compile(r"\b(?:if|for|while|case|catch)\b|\?(?![.?:])|&&|\|\||\?\?")
-TEXT = re.compile(r"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\[\s\S])*`")
-SYMBOL = re.compile(
-    r"^(?P<exp>export )?(?:default )?(?:(?:async )?function\s*\*?\s*(?P<function>\w+)|(?:abstract )?class (?P<class>\w+)|interface (?P<interface>\w+)|type (?P<type>\w+)|(?:const )?enum (?P<enum>\w+)|(?:const|let|var) (?P<variable>\w+))",
-    re.M,
+SYMBOL = (
+    "id string, node_type string, name string, file_path string, line_start int, line_end int, exported boolean, complexity int, documentation string, parameters array<string>, return_type string,"
+    " is_async boolean, is_generator boolean, is_abstract boolean, extends_name string, implements_names array<string>, member_count int"
 )
-METHOD = re.compile(r"^  (?:(?:async|static|public|private|protected|override|readonly|get|set) )*\*?\s*(?P<m>#?[A-Za-z_$][\w$]*)\s*(?:<[^>\n]*>)?\(", re.M)
+IMPORT = "module string, symbols array<string>, is_default boolean, is_namespace boolean, is_type_only boolean"
+EXPORT = "name string, is_default boolean, is_re_export boolean, source string"
+SCAN = f"file_path string, line_count int, error string, symbols array<struct<{SYMBOL.replace(' ', ':').replace(',:', ',')}>>, imports array<struct<{IMPORT.replace(' ', ':').replace(',:', ',')}>>, exports array<struct<{EXPORT.replace(' ', ':').replace(',:', ',')}>>"
 
 
-def symbols(path: str, text: str) -> list[tuple]:
-    """Symbols of one file by layout: (id, node_type, name, file_path, line_start, line_end, exported, complexity).
+def scan_text(path: str, text: str | None) -> tuple:
+    """What a file declares, imports and exports, in the columns of SCAN.
 
-    Declarations begin in the first column, methods in the third; a symbol ends with the line that closes its
-    braces. Complexity is one more than the branches and logical operators in it, texts and comments apart.
+    A symbol's id is its path, type, name and line. Its documentation is the descriptions of the documentation comments before
+    it. Complexity, of functions and classes, is one more than the branches, and than the binary expressions in whose
+    text a logical operator stands, so that an expression around a logical one counts as well.
+    """
+    text = (text or "").replace("\r\n", "\n")
+    ext = path.rsplit(".", 1)[-1].lower() if "." in path else "ts"
+    o = outline(text, {"mjs": "js", "cjs": "js", "mts": "ts", "cts": "ts"}.get(ext, ext))
+    line = lines_of(text)
+    symbols = []
+    for x in o.symbols:
+        at = line(x.start)
+        symbols.append(
+            dict(
+                id=f"{path}:{x.kind}:{x.name}:{at}", node_type=x.kind, name=x.name, file_path=path, line_start=at, line_end=line(max(x.end - 1, x.start)), exported=x.exported,
+                complexity=complexity(o, x) if x.counted else None, documentation=x.documentation, parameters=x.parameters, return_type=x.return_type, is_async=x.is_async, is_generator=x.is_generator,
+                is_abstract=x.is_abstract, extends_name=x.extends, implements_names=x.implements, member_count=x.members,
+            )
+        )
+    imports = [dict(zip(("module", "symbols", "is_default", "is_namespace", "is_type_only"), x)) for x in o.imports]
+    exports = [dict(name=n, is_default=d, is_re_export=m is not None, source=m) for n, d, m in o.exports]
+    own = [("default" if x.default else x.name, x.default) for x in o.symbols if x.exported and "." not in x.name and (x.default or x.name not in {a for a, _ in o.renamed})]
+    exports += [dict(name=n, is_default=d, is_re_export=False, source=None) for n, d in [*own, *((b, False) for _, b in o.renamed if b != "default")]]
+    return path, text.count("\n") + (not text.endswith("\n") and text != ""), o.errors[0][0] if o.errors else None, symbols, imports, exports
+
+
+def scan(files: DataFrame) -> DataFrame:
+    """One row a file (file_path, content) with its lines, first syntax error, symbols, imports and exports.
+
+    Every text is walked once by the grammar of its extension. Repeated paths count once, null paths are left out, null
+    and empty contents declare nothing.
     """
-    text = text.lstrip("﻿").replace("\r\n", "\n")
-    blank = TEXT.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
-    starts = [0] + [m.end() for m in re.finditer("\n", blank)]
-    from bisect import bisect_right
-
-    line = lambda at: bisect_right(starts, at)
-
-    def end_of(at: int) -> int:
-        depth, seen = 0, False
-        for m in re.compile(r"[{}();\n]").finditer(blank, at):
-            c = m.group()
-            if c in "{(":
-                depth, seen = depth + 1, seen or c == "{"
-            elif c in "})":
-                depth -= 1
-                if depth <= 0 and c == "}":
-                    return m.start()
-            elif c == ";" and depth == 0:
-                return m.start()
-        return len(blank) - 1
-
-    out = []
-
-    def add(kind, name, at, exported):
-        e = end_of(at)
-        c = 1 + len(BRANCH.findall(blank[at : e + 1]))
-        out.append((f"{path}:{kind}:{name}:{line(at)}", kind, name, path, line(at), line(e), exported, c if kind in ("function", "class") else None))
-        return e
-
-    for m in SYMBOL.finditer(blank):
-        kind = next(k for k in ("function", "class", "interface", "type", "enum", "variable") if m[k])
-        if kind == "variable" and not m["exp"]:
-            continue
-        e = add(kind, m[kind], m.start(), bool(m["exp"]))
-        if kind == "class":
-            for x in METHOD.finditer(blank, m.end(), e):
-                if x["m"] not in ("if", "for", "while", "switch", "catch", "return"):
-                    add("function", f"{m['class']}.{x['m']}", x.start() + 2, bool(m["exp"]))
-    return out
-
-
-def extract_symbols(files: DataFrame) -> DataFrame:
-    """S3 for a table of files (file_path, content); repeated paths count once."""
 
     def f(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["file_path", "line_count", "error", "symbols", "imports", "exports"]
         for frame in frames:
-            rows = [x for p, t in zip(frame.file_path, frame.content) for x in symbols(p, t or "")]
-            yield pd.DataFrame(rows, columns=["id", "node_type", "name", "file_path", "line_start", "line_end", "exported", "complexity"]).astype({"complexity": "Int64"})
+            yield pd.DataFrame([scan_text(p, t) for p, t in zip(frame.file_path, frame.content)], columns=names)
 
     once = spread(files.select("file_path", "content").where("file_path IS NOT NULL"), "file_path").dropDuplicates(["file_path"])
-    return once.mapInPandas(f, "id string, node_type string, name string, file_path string, line_start int, line_end int, exported boolean, complexity long")
+    return once.mapInPandas(f, SCAN)
+
+
+def symbols_of(scanned: DataFrame) -> DataFrame:
+    """S3: the symbols of scanned files, one row each."""
+    return scanned.select(F.explode("symbols").alias("s")).select("s.*")
+
+
+def imports_of(scanned: DataFrame) -> DataFrame:
+    """(file_path, module, symbols, is_default, is_namespace, is_type_only), one row per import declaration of a relative module; packages are dropped."""
+    return scanned.select("file_path", F.explode("imports").alias("i")).select("file_path", "i.*").where(F.col("module").startswith(".") | F.col("module").startswith("/"))
+
+
+def exports_of(scanned: DataFrame) -> DataFrame:
+    """(file_path, name, is_default, is_re_export, source): names in export lists, defaults, and exported declarations.
+
+    A name that is declared and listed comes twice, the second time under the name it is exported by.
+    """
+    return scanned.select("file_path", F.explode("exports").alias("e")).select("file_path", "e.*")
+
+
+def extract_symbols(files: DataFrame) -> DataFrame:
+    """S3 for a table of files (file_path, content)."""
+    return symbols_of(scan(files))
 
 
 def extract_imports(files: DataFrame) -> DataFrame:
-    """(file_path, module, symbols, is_type_only), one row per import declaration of a relative module; packages are dropped."""
-    t = F.regexp_replace(F.coalesce("content", F.lit("")), "\r\n", "\n")
-    d = files.select("file_path", F.explode(F.regexp_extract_all(t, F.lit(IMPORT), F.lit(0))).alias("d"))
-    d = d.withColumn("module", F.regexp_extract("d", r"['\"]([^'\"\n]+)['\"]$", 1)).where(F.col("module").startswith("."))
-    names = F.regexp_replace(F.regexp_extract("d", r"^import (?:type )?(.*) from ", 1), r"[{}]", "")
-    return d.select("file_path", "module", F.trim(F.regexp_replace(names, r"\s+", " ")).alias("symbols"), F.col("d").startswith("import type ").alias("is_type_only"))
+    """S6 for a table of files (file_path, content)."""
+    return imports_of(scan(files))
+
+
+def extract_exports(files: DataFrame) -> DataFrame:
+    """S8 for a table of files (file_path, content)."""
+    return exports_of(scan(files))
 
 
 def resolve(path: Column, module: Column) -> Column:
@@ -115,11 +129,3 @@ def resolve(path: Column, module: Column) -> Column:
     walk = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when((x == ".") | (x == ""), a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))))
     out = F.array_join(walk, "/")
     return F.when(out.rlike(r"\.(?:ts|tsx|js|jsx)$"), out).otherwise(F.concat(out, F.lit(".ts")))
-
-
-def extract_exports(files: DataFrame) -> DataFrame:
-    """(file_path, name, is_default) of exported declarations; a file may export a name twice."""
-    t = F.regexp_replace(F.coalesce("content", F.lit("")), "\r\n", "\n")
-    p = r"(?m)^export (?:default )?(?:declare )?(?:abstract )?(?:async )?(?:const enum|const|let|var|function\*?|class|interface|type|enum) *\*? *\w+"
-    d = files.select("file_path", F.explode(F.regexp_extract_all(t, F.lit(p), F.lit(0))).alias("d"))
-    return d.select("file_path", F.regexp_extract("d", r"(\w+)$", 1).alias("name"), F.col("d").startswith("export default").alias("is_default"))

@@ -102,9 +102,10 @@ def test_rows_are_numbered_in_order(spark):
 
 def test_symbols_of_a_text():
     text = "import { a } from './a.js';\n\nexport class A {\n  m(x) {\n    if (x && '}') { return 1; }\n  }\n}\n\nexport const b = 1;\nconst c = 2;\nfunction f() { return 1; }\nenum E { A }\n"
-    got = {(x[1], x[2]): x for x in trees.symbols("p.ts", text)}
+    got = {(x["node_type"], x["name"]): x for x in trees.scan_text("p.ts", text)[3]}
     assert set(got) == {("class", "A"), ("function", "A.m"), ("variable", "b"), ("function", "f"), ("enum", "E")}
-    assert got["class", "A"][4:6] == (3, 7) and got["function", "A.m"][4:6] == (4, 6) and got["function", "A.m"][7] == 3 and not got["function", "f"][6]
+    lines = lambda x: (x["line_start"], x["line_end"])
+    assert lines(got["class", "A"]) == (3, 7) and lines(got["function", "A.m"]) == (4, 6) and got["function", "A.m"]["complexity"] == 3 and not got["function", "f"]["exported"]
 
 
 def test_tree_imports_and_resolution(spark, tmp_path):
@@ -115,8 +116,8 @@ def test_tree_imports_and_resolution(spark, tmp_path):
     t = trees.read_tree(spark, str(tmp_path))
     assert [r.file_path for r in t.collect()] == ["src/a.ts"]
     i = trees.extract_imports(t).withColumn("to", trees.resolve(F.col("file_path"), F.col("module")))
-    assert {(r.module, r.symbols, r.is_type_only, r.to) for r in i.collect()} == {("../lib/b", "X, Y as Z", True, "lib/b.ts"), ("./d.js", "", False, "src/d.js")}
-    assert [(r.name, r.is_default) for r in trees.extract_exports(t).collect()] == [("f", True)]
+    assert {(r.module, tuple(r.symbols), r.is_type_only, r.to) for r in i.collect()} == {("../lib/b", ("X", "Y as Z"), True, "lib/b.ts"), ("./d.js", (), False, "src/d.js")}
+    assert [(r.name, r.is_default) for r in trees.extract_exports(t).collect()] == [("default", True)]
     assert store.is_stale(t, 0).first().stale and not store.is_stale(t, 2**62).first().stale
 
 
