@@ -152,3 +152,25 @@ def test_breaking_changes(spark):
     old = spark.createDataFrame([(1, "export const a = 1;\nexport function f(x) {\n}\n"), (2, "export class B {\n}\n"), (3, "")], "file_id long, text string")
     new = spark.createDataFrame([(1, "export function f(x, y) {\n}\n"), (3, "export const n = 1;\n")], "file_id long, text string")
     assert {tuple(r) for r in X.breaking_changes(old, new).collect()} == {(1, "a", "removed"), (1, "f", "signature"), (2, "*", "deleted")}
+
+
+def test_keywords_of_a_query(spark):
+    from evograph.operators import search
+
+    one = lambda text: [r.keyword for r in search.parse_query(spark, text).orderBy("ord").collect()]
+    assert one("login") == ["login", "signin", "sign-in", "authenticate", "auth", "authentication", "session", "token", "jwt", "oauth"]
+    assert one("  Schema ") == ["schema", "model", "entity", "definition", "type", "db", "database", "repository", "store", "interface", "dto"]
+    assert one("exception") == ["exception", "error", "throw", "catch", "handle"] and one("a x-y") == [] and one("zebra") == ["zebra"]
+
+
+def test_questions_and_purposes(spark):
+    from evograph.operators import search
+
+    asked = {
+        "What does the parser do?": ("what-does", "parser do"), "Where are tokens stored in it": ("where-is", "tokens"), "who is the owner": ("general", "who is the owner"), "How many files": ("general", "how many files"), "who owns my cache module?": ("who-wrote", "my cache module"),
+        "Explain the cache module": ("what-does", "explain the cache"), "show me cycles": ("list", "cycles"), "How does login work?": ("how-works", "login"), "Why does X exist": ("why-exists", "x"), "whatever": ("general", "whatever"),
+    }
+    df = spark.createDataFrame([(q,) for q in asked], "q string").select("q", search.question_type(F.col("q")).alias("t"), search.subject(F.col("q")).alias("s"))
+    got = {r.q: (r.t, r.s) for r in df.collect()}
+    assert {q: t for q, (t, _) in got.items()} == {q: t for q, (t, _) in asked.items()}
+    assert got["Where are tokens stored in it"][1] == "tokens" and got["How does login work?"][1] == "login" and got["Why does X exist"][1] == "x" and got["show me cycles"][1] == "cycles"
