@@ -140,6 +140,27 @@ def change_risk(r: Relations) -> DataFrame:
     return j.select("hash", *[F.col(f"k{i}").cast("bigint").alias(f"k{i}") for i in range(1, 7)], "overall", level.alias("level"), advice.cast("bigint").alias("recommendations"))
 
 
+# Factors of the risk, from which score on each calls for something, and for what.
+ADVICE = (
+    ("k1", 60, "split the change"), ("k2", 60, "commit in smaller steps"), ("k3", 50, "have the complex code reviewed again"), ("k4", 50, "test what depends on the files"), ("k5", 40, "review in pairs"), ("k6", 50, "add tests for the files"),
+)
+
+
+def recommendations(r: Relations) -> DataFrame:
+    """K7: (hash, ord, recommendation) for every change set, in the order of the factors; one that calls for nothing is safe."""
+    k = change_risk(r)
+    told = F.filter(F.array(*[F.when(F.col(c) >= least, F.lit(said)) for c, least, said in ADVICE]), lambda x: x.isNotNull())
+    told = F.when(F.size(told) == 0, F.array(F.lit("safe as it is"))).otherwise(told)
+    return k.select("hash", F.posexplode(told).alias("ord", "recommendation")).select("hash", F.col("ord").cast("bigint").alias("ord"), "recommendation")
+
+
+def concerns(r: Relations) -> DataFrame:
+    """K7: per change set its level and the factor of the highest score, if that is 50 or more; of equal ones the first."""
+    names = [("k1", "files"), ("k2", "lines"), ("k3", "complexity"), ("k4", "dependents"), ("k5", "owners"), ("k6", "tests")]
+    best = F.array_max(F.array(*[F.struct(F.col(c).alias("score"), F.lit(-i).alias("i"), F.lit(x).alias("name")) for i, (c, x) in enumerate(names)]))
+    return change_risk(r).withColumn("b", best).select("hash", "level", F.when(F.col("b.score") >= 50, F.col("b.name")).otherwise("none").alias("concern"))
+
+
 def largest_files(r: Relations) -> DataFrame:
     """The largest file of every change set; ties go to the first path."""
     w = Window.partitionBy("hash").orderBy(F.desc(F.col("added") + F.col("removed")), "file_path")
@@ -261,7 +282,7 @@ def _q(f, *a, **k):
 
 
 QUERIES = {
-    "c1_coupling": _q(coupling), "c2_unrelated": _q(unrelated_pairs), "c3_co_changes": _q(co_changes), "c3_co_changes_all": _q(co_changes_all), "t4_impact": _q(impact), "k_risk_batch": _q(change_risk), "k2_largest_files": _q(largest_files), "j10_find_file": _q(reported_files),
+    "c1_coupling": _q(coupling), "c2_unrelated": _q(unrelated_pairs), "c3_co_changes": _q(co_changes), "c3_co_changes_all": _q(co_changes_all), "t4_impact": _q(impact), "k_risk_batch": _q(change_risk), "k7_recommendations": _q(recommendations), "k7_concerns": _q(concerns), "k2_largest_files": _q(largest_files), "j10_find_file": _q(reported_files),
     "pf11_file_risk": _q(predicted_risk), "pf11_prediction": _q(prediction), "pf12_precommit": _q(precommit), "pf13_review_risk": _q(review_risk), "pf28_fixes": _q(fix_suggestions), "pf29_blocks": _q(extractable_blocks), "pf30_groups": _q(symbol_groups),
 }
 
@@ -326,3 +347,7 @@ SQL = {
         WHEN regexp_matches(nm, '^(create|build|make|init)') THEN 'creation' WHEN regexp_matches(nm, '^(is|has|can|check|validate|match)') THEN 'checks' WHEN regexp_matches(nm, '^(parse|format|render|merge|split|convert|transform)') THEN 'transformation' ELSE 'other' END AS grp
         FROM (SELECT file_path, lower(split_part(name, '.', -1)) AS nm FROM symbols_ WHERE node_type = 'function')) GROUP BY 1, 2"""),
 }
+SQL["k7_recommendations"] = f"""WITH r_ AS ({SQL["k_risk_batch"]}), t_ AS (SELECT hash, 1 AS f, 'split the change' AS recommendation FROM r_ WHERE k1 >= 60 UNION ALL SELECT hash, 2, 'commit in smaller steps' FROM r_ WHERE k2 >= 60 UNION ALL SELECT hash, 3, 'have the complex code reviewed again' FROM r_ WHERE k3 >= 50
+    UNION ALL SELECT hash, 4, 'test what depends on the files' FROM r_ WHERE k4 >= 50 UNION ALL SELECT hash, 5, 'review in pairs' FROM r_ WHERE k5 >= 40 UNION ALL SELECT hash, 6, 'add tests for the files' FROM r_ WHERE k6 >= 50 UNION ALL SELECT hash, 7, 'safe as it is' FROM r_ WHERE recommendations = 0)
+    SELECT hash, row_number() OVER (PARTITION BY hash ORDER BY f) - 1 AS ord, recommendation FROM t_"""
+SQL["k7_concerns"] = f"""WITH r_ AS ({SQL["k_risk_batch"]}) SELECT hash, level, CASE WHEN greatest(k1, k2, k3, k4, k5, k6) < 50 THEN 'none' ELSE CASE greatest(k1, k2, k3, k4, k5, k6) WHEN k1 THEN 'files' WHEN k2 THEN 'lines' WHEN k3 THEN 'complexity' WHEN k4 THEN 'dependents' WHEN k5 THEN 'owners' ELSE 'tests' END END AS concern FROM r_"""

@@ -135,6 +135,12 @@ def relationships(r: Relations) -> DataFrame:
     )
 
 
+def import_flags(r: Relations) -> DataFrame:
+    """One row: pairs of files that import each other, files that import themselves, and all import pairs of known files."""
+    both = mutual_imports(r).agg(n().alias("mutual_pairs"))
+    return both.crossJoin(r.file_imports.agg(F.count_if(F.col("src") == F.col("dst")).alias("self_imports"), n().alias("imports")))  # single rows
+
+
 def mutual_imports(r: Relations) -> DataFrame:
     """Pairs of files that import each other."""
     e = r.file_imports
@@ -321,7 +327,7 @@ def edit_warnings(r: Relations) -> DataFrame:
     top = r.nodes.groupBy(F.col("file_path").alias("id")).agg(F.max("complexity").alias("top"))
     f = r.files.join(top, "id", "left").join(direct_dependents(r), "id", "left")
     owners = F.size(F.array_distinct(F.filter(F.coalesce("contributors", F.array()), lambda x: F.trim(x) != "")))
-    stale = F.floor((F.lit(AS_OF_US) - F.col("modified_us")) / DAY_US)
+    stale = F.floor((F.lit(r.as_of_us) - F.col("modified_us")) / DAY_US)
     kinds = F.array(
         F.when(F.col("top") >= 15, "complex"), F.when(F.col("dependents") >= 5, "depended_on"), F.when(owners == 1, "single_owner"), F.when(stale > 180, "stale"), F.when(F.col("modification_count") > 30, "churning")
     )
@@ -416,7 +422,7 @@ def confession(r: Relations) -> DataFrame:
     dead = dead_by_name(r).groupBy(F.col("file_path").alias("id")).agg(n().alias("unused"))
     f = r.files.join(s, "id", "left").join(direct_dependents(r), "id", "left").join(dead, "id", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return f.select("id", z("symbols").alias("symbols"), z("functions").alias("functions"), z("dependents").alias("importers"), z("unused").alias("unused_exports"), F.coalesce(F.floor((F.lit(AS_OF_US) - F.col("modified_us")) / DAY_US), F.lit(-1)).cast("bigint").alias("days"))
+    return f.select("id", z("symbols").alias("symbols"), z("functions").alias("functions"), z("dependents").alias("importers"), z("unused").alias("unused_exports"), F.coalesce(F.floor((F.lit(r.as_of_us) - F.col("modified_us")) / DAY_US), F.lit(-1)).cast("bigint").alias("days"))
 
 
 def codebase_summary(r: Relations) -> DataFrame:
@@ -444,7 +450,7 @@ QUERIES = {
     "g2_contains_edges": _q(contains_edges), "g3_import_edges": _q(import_edges), "g4_dependency_map": _q(dependency_map), "g5_import_counts": _q(import_counts), "g6_enriched_files": _q(enriched_files),
     "g7_languages": _q(language_histogram), "g8_graph_stats": _q(graph_stats), "g10_scan_errors": _q(scan_errors), "j1_resolved_imports": _q(resolved_imports), "t7_degrees": _q(degrees),
     "g9_incremental": lambda s, d: update_incremental(Relations(s, d).nodes.select("id", "ord", "modification_count"), Relations(s, d).raw("nodes").select("id", "ord", "modification_count")).select("id", F.coalesce("modification_count", F.lit(-1)).cast("bigint").alias("modification_count")),
-    "t2_direct_dependents": _q(direct_dependents), "t3_indirect_dependents": _q(indirect_dependents), "t8_coupling_scores": _q(coupling_scores), "pf5_relationships": _q(relationships), "pf27_mutual_imports": _q(mutual_imports),
+    "t2_direct_dependents": _q(direct_dependents), "t3_indirect_dependents": _q(indirect_dependents), "t8_coupling_scores": _q(coupling_scores), "pf5_relationships": _q(relationships), "pf27_mutual_imports": _q(mutual_imports), "pf27_import_flags": _q(import_flags),
     "j3_dead_by_name": _q(dead_by_name), "j4_dead_by_target": _q(dead_by_target), "a21_dead_by_symbol": _q(dead_by_symbol), "t1_call_chain": _q(chain_from_hub), "t1_call_chain_deep": _q(chain_from_hub_deep), "t5_bounded_cycles": _q(bounded_cycles), "t5_cycles_to_six": _q(cycles_to_six), "t6_back_edges": _q(back_edges),
     "pf9_zones": _q(zones), "pf10_standup_risk": _q(standup_risk), "pf14_edit_warnings": _q(edit_warnings), "a25_drift": _q(drift), "a25_drift_score": _q(drift_score), "a22_architecture": _q(architecture), "pf25_diagram": _q(diagram),
     "s22_diagram_text": _q(diagram_text), "pf24_tour": _q(tour), "pf26_confession": _q(confession), "a21_summary": _q(codebase_summary),
@@ -499,6 +505,7 @@ SQL = {
     "pf5_relationships": sql("""SELECT id, coalesce(o, 0) AS imports, coalesce(i, 0) AS imported_by, coalesce(e, 0) AS exports, floor(least(1.0, (coalesce(o, 0) + coalesce(i, 0)) / 20.0) * 100 + 0.5) / 100 AS coupling
         FROM (SELECT id FROM files_) LEFT JOIN (SELECT src AS id, count(DISTINCT dst) AS o FROM imports_ GROUP BY 1) USING (id) LEFT JOIN (SELECT dst AS id, count(DISTINCT src) AS i FROM imports_ GROUP BY 1) USING (id)
         LEFT JOIN (SELECT file_path AS id, count(*) AS e FROM symbols_ WHERE exported GROUP BY 1) USING (id)"""),
+    "pf27_import_flags": sql("SELECT (SELECT count(*) FROM file_imports_ a JOIN file_imports_ b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst) AS mutual_pairs, count(*) FILTER (src = dst) AS self_imports, count(*) AS imports FROM file_imports_"),
     "pf27_mutual_imports": sql("SELECT src, dst FROM file_imports_ WHERE src < dst AND (dst, src) IN (SELECT (src, dst) FROM file_imports_)"),
     "j3_dead_by_name": sql(USED + " SELECT * FROM dead_"),
     "j4_dead_by_target": sql("SELECT id FROM symbols_ WHERE exported AND id NOT IN (SELECT dst FROM imports_)"),

@@ -306,16 +306,16 @@ def milestones(r: Relations) -> DataFrame:
 
 
 def morning(r: Relations) -> DataFrame:
-    """What a repository saw within the last two days, and over the week."""
+    """What a repository saw within the last 24 hours, and over the week."""
     c = r.changes.where(F.col("at_us") >= r.as_of_us - 7 * DAY_US)
-    fresh = F.col("at_us") >= r.as_of_us - 2 * DAY_US
+    fresh = F.col("at_us") >= r.as_of_us - DAY_US
     return c.groupBy("repo").agg(
         F.countDistinct(F.when(fresh, F.col("hash"))).alias("commits"), F.countDistinct(F.when(fresh, F.col("file_path"))).alias("files"), F.countDistinct(F.when(fresh, F.col("author"))).alias("contributors"),
         F.countDistinct("hash").alias("week_commits"), F.countDistinct("file_path").alias("week_files"),
     )
 
 
-def week_hot_files(r: Relations, days: int = 30, limit: int = 3) -> DataFrame:
+def week_hot_files(r: Relations, days: int = 7, limit: int = 3) -> DataFrame:
     """The most changed files of a period per repository, over its newest 50 commits."""
     c = newest(r.commits.where(F.col("at_us") >= r.as_of_us - days * DAY_US), "repo", 50)
     per = r.commit_files.join(c.select("hash", "repo"), "hash").groupBy("repo", "file_path").agg(n().alias("changes"))
@@ -562,9 +562,9 @@ SQL = {
     "a17_wrapped_top": sql(YEAR + " SELECT repo, author, commits, share FROM (SELECT repo, author, count(*) AS commits, floor(100.0::DOUBLE * count(*) / sum(count(*)) OVER (PARTITION BY repo) + 0.5)::BIGINT AS share, row_number() OVER (PARTITION BY repo ORDER BY count(*) DESC, author) AS rn FROM yc_ WHERE author IS NOT NULL GROUP BY 1, 2) WHERE rn <= 5"),
     "a19_origin": sql(f"SELECT repo, author, commits, first_us, first_us <= start + {30 * DAY_US} AS founder FROM (SELECT repo, author, count(*) AS commits, min(at_us) AS first_us, min(min(at_us)) OVER (PARTITION BY repo) AS start, row_number() OVER (PARTITION BY repo ORDER BY count(*) DESC, author) AS rn FROM commits_ WHERE author IS NOT NULL GROUP BY 1, 2) WHERE rn <= 10"),
     "a19_milestones": sql(r"SELECT repo, at_us, 'tag' AS kind, regexp_extract(refs, 'tag: ([^,\s]+)', 1) AS name FROM commits_ WHERE regexp_matches(refs, 'tag: ') UNION ALL SELECT repo, min(at_us), 'join', author FROM commits_ WHERE author IS NOT NULL GROUP BY repo, author"),
-    "a20_morning": sql(f"""SELECT repo, count(DISTINCT hash) FILTER (at_us >= {AS_OF_US - 2 * DAY_US}) AS commits, count(DISTINCT file_path) FILTER (at_us >= {AS_OF_US - 2 * DAY_US}) AS files, count(DISTINCT author) FILTER (at_us >= {AS_OF_US - 2 * DAY_US}) AS contributors,
+    "a20_morning": sql(f"""SELECT repo, count(DISTINCT hash) FILTER (at_us >= 1751328000000000 - 86400000000) AS commits, count(DISTINCT file_path) FILTER (at_us >= 1751328000000000 - 86400000000) AS files, count(DISTINCT author) FILTER (at_us >= 1751328000000000 - 86400000000) AS contributors,
         count(DISTINCT hash) AS week_commits, count(DISTINCT file_path) AS week_files FROM changes_ WHERE at_us >= {AS_OF_US - 7 * DAY_US} GROUP BY 1"""),
-    "a20_week_hot_files": sql(f", c AS {_newest(f'(SELECT * FROM commits_ WHERE at_us >= {AS_OF_US - 30 * DAY_US})', 'repo', 50)} SELECT repo, file_path, changes FROM (SELECT c.repo, file_path, count(*) AS changes, row_number() OVER (PARTITION BY c.repo ORDER BY count(*) DESC, file_path) AS rn FROM commit_files_ JOIN c USING (hash) GROUP BY 1, 2) WHERE rn <= 3"),
+    "a20_week_hot_files": sql(f", c AS {_newest(f'(SELECT * FROM commits_ WHERE at_us >= 1751328000000000 - 7 * 86400000000)', 'repo', 50)} SELECT repo, file_path, changes FROM (SELECT c.repo, file_path, count(*) AS changes, row_number() OVER (PARTITION BY c.repo ORDER BY count(*) DESC, file_path) AS rn FROM commit_files_ JOIN c USING (hash) GROUP BY 1, 2) WHERE rn <= 3"),
     "a28_departed": sql(f"SELECT file_path, count(*) AS commits, count(DISTINCT author) AS authors, min(at_us) AS first_us, max(at_us) AS last_us, ((max(at_us) - min(at_us)) // 86400000000)::BIGINT AS days FROM changes_ WHERE {SRC} AND file_path NOT IN (SELECT file_path FROM files_) GROUP BY 1"),
     "a28_obituaries": sql(f"SELECT file_path, count(*) AS commits, count(DISTINCT author) AS authors, sum(added)::BIGINT AS added, sum(removed)::BIGINT AS removed, (({AS_OF_US} - min(at_us)) // 86400000000)::BIGINT AS age FROM changes_ GROUP BY 1"),
     "a27_archaeology": sql(f""", c AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY at_us, hash DESC) AS rn FROM {_newest('changes_', 'file_path', 100)}),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..relations import AS_OF_US, DAY_US, SOURCE, Relations, clamp, js_round, n, path_dir, r2, sql
 from .complexity import report
-from .graph import DRIFT, USED, cyclic_core, dead_by_name, drift
+from .graph import DRIFT, USED, dead_by_name, drift
 from .history import OWN, ownership
 
 # ---- hotspots ----
@@ -88,6 +88,24 @@ def differences(r: Relations) -> DataFrame:
     )
 
 
+def metric_changes(r: Relations) -> DataFrame:
+    """(day, metric, before, after, change) for each of the ten metrics of a snapshot against the one before: files, lines,
+    average and highest complexity, hotspots, health, and how many are of low, medium, high and very high complexity.
+
+    Snapshots are days of the events; ten rows a day, so that the window is over days.
+    """
+    c = F.col("value") / 10
+    e = r.raw("events").select(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / DAY_US).cast("bigint").alias("day"), "user_id", "event_type", "value")
+    s = e.groupBy("day").agg(
+        F.countDistinct("user_id").alias("files"), n().alias("lines"), r2(F.avg("value") / 10).alias("average"), r2(F.max("value") / 10).alias("most"), F.count_if(F.col("event_type") == "error").alias("hotspots"),
+        clamp(F.floor(F.avg("value"))).alias("health"), F.count_if(c <= 5).alias("low"), F.count_if((c > 5) & (c <= 10)).alias("medium"), F.count_if((c > 10) & (c <= 20)).alias("high"), F.count_if(c > 20).alias("very_high"),
+    )
+    names = [x for x in s.columns if x != "day"]
+    rows = s.select("day", F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.col(x).cast("double").alias("v")) for x in names])).alias("m")).select("day", "m.*")
+    b = rows.withColumn("before", F.lag("v").over(Window.partitionBy("metric").orderBy("day"))).where("before IS NOT NULL")
+    return b.select("day", "metric", "before", F.col("v").alias("after"), r2(F.col("v") - F.col("before")).alias("change"))
+
+
 def regression(r: Relations) -> DataFrame:
     """Least squares of health over weeks since the first snapshot; one point gives slope 0 and r2 1, none zeros."""
     s = snapshots(r)
@@ -125,6 +143,22 @@ def velocity(r: Relations) -> DataFrame:
     return f.select("file_path", "per_week", trend.alias("trend"))
 
 
+def velocity_summary(r: Relations, days: int = 30) -> DataFrame:
+    """One row: the files' summed complexity and its change a week, the trend, and the complexity projected 30 days on.
+
+    Without two snapshots nothing changes.
+    """
+    v = velocity(r).agg(n().alias("files"))
+    s = snapshots(r).agg(F.min_by("average", "day").alias("old"), F.max_by("average", "day").alias("new"), F.greatest(F.lit(1), F.max("day") - F.min("day")).alias("days"), n().alias("k"))
+    f = r.files.where("complexity IS NOT NULL").select(F.col("complexity").cast("double").alias("c")).crossJoin(F.broadcast(s))  # against one row
+    before = F.when((F.col("new") == 0) | (F.col("k") < 2), F.col("c")).otherwise(r2(F.col("c") * F.try_divide(F.col("old"), F.col("new"))))
+    # in hundredths, so that the sum is the same in any order
+    moved = F.sum(F.floor((F.col("c") - before) * 100 + 0.5).cast("bigint")) / 100.0
+    a = f.agg(F.coalesce(F.sum(F.col("c").cast("bigint")), F.lit(0)).alias("total"), F.coalesce(r2(moved / (F.max("days") / 7.0)), F.lit(0.0)).alias("per_week"))
+    trend = F.when(F.col("per_week") <= -5, "improving").when(F.col("per_week") <= 2, "stable").when(F.col("per_week") <= 10, "degrading").otherwise("critical")
+    return v.crossJoin(a).select("files", "total", "per_week", trend.alias("trend"), js_round(F.col("total") + F.col("per_week") * (days / 7.0)).alias("projected"))  # single rows
+
+
 def period_trends(r: Relations) -> DataFrame:
     """First against last snapshot of the last week, month (30 days) and all time; better or worse from three points on."""
     s = snapshots(r)
@@ -153,7 +187,7 @@ def debt(r: Relations) -> DataFrame:
     h = file_hotspots(r).where("score >= 25").select("file_path", F.col("debt_hours").cast("double").alias("hours"), F.lit(1).alias("cause"))
     lines = r.files.select("file_path", "line_count")
     b = ownership(r).where("bus_factor = 1").join(lines, "file_path").select("file_path", r2(F.least(F.lit(40.0), 2 * 40 * F.coalesce("line_count", F.lit(0)) / 1000.0)).alias("hours"), F.lit(2).alias("cause"))
-    e = cyclic_core(r)
+    e = r.file_imports
     c = e.join(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi").select(F.col("src").alias("file_path"), F.lit(4.0).alias("hours"), F.lit(3).alias("cause"))
     d = dead_by_name(r).groupBy("file_path").agg(n().alias("k")).join(lines, "file_path").select("file_path", r2(F.least(F.lit(10.0), F.col("k") / F.greatest(F.lit(1.0), F.coalesce("line_count", F.lit(0)) / 100.0))).alias("hours"), F.lit(4).alias("cause"))
     facts = h.unionByName(b).unionByName(c).unionByName(d)
@@ -187,7 +221,7 @@ def _q(f, *a, **k):
 
 QUERIES = {
     "w2_hotspots": _q(hotspots), "w1_percentiles": _q(file_hotspots), "w2_summary": _q(hotspot_summary), "w2_quadrants": _q(quadrants), "r10_snapshots": _q(snapshots), "w7_differences": _q(differences), "w3_regression": _q(regression),
-    "w4_trajectory": _q(trajectory), "w5_velocity": _q(velocity), "w6_period_trends": _q(period_trends), "w12_health_history": _q(health_history), "a24_debt": _q(debt), "a29_overview": _q(overview), "pf21_moods": _q(moods),
+    "w4_trajectory": _q(trajectory), "w5_velocity": _q(velocity), "w5_summary": _q(velocity_summary), "w7_metrics": _q(metric_changes), "w6_period_trends": _q(period_trends), "w12_health_history": _q(health_history), "a24_debt": _q(debt), "a29_overview": _q(overview), "pf21_moods": _q(moods),
 }
 
 HOT = f""", hc_ AS (SELECT file_path, count(*) AS k FROM changes_ WHERE regexp_matches(file_path, '\\.(ts|tsx|js|jsx)$') AND at_us >= {AS_OF_US - 52 * 7 * DAY_US} GROUP BY 1), hf_ AS (SELECT file_path, coalesce(complexity, 0) AS c, coalesce(k, 0) AS k FROM files_ LEFT JOIN hc_ USING (file_path)),
@@ -197,6 +231,9 @@ hot_ AS (SELECT file_path, complexity, churn, floor(k / 52.0::DOUBLE * 10 + 0.5)
 floor(complexity / 10.0::DOUBLE * CASE priority WHEN 'critical' THEN 2.0 WHEN 'high' THEN 1.5 WHEN 'medium' THEN 1.0 ELSE 0.5 END + 0.5)::BIGINT AS debt_hours FROM ht_), top_ AS (SELECT * FROM hot_ ORDER BY score DESC, file_path LIMIT 20)"""
 SNAP = ", sn_ AS (SELECT epoch_us(ts) // 86400000000 AS day, greatest(0, least(100, floor(avg(value))))::BIGINT AS health, floor(avg(value) / 10 * 100 + 0.5) / 100 AS average, count(*) FILTER (event_type = 'error') AS hotspots, count(DISTINCT user_id) AS files FROM events GROUP BY 1)"
 REG = SNAP + """, rg0_ AS (SELECT (day - (SELECT min(day) FROM sn_)) / 7.0::DOUBLE AS w, health::DOUBLE AS h FROM sn_), rg_ AS (SELECT count(*) AS points, floor(coalesce(regr_slope(h, w), 0) * 10000 + 0.5) / 10000 AS slope, floor(regr_intercept(h, w) * 10000 + 0.5) / 10000 AS intercept, floor(coalesce(regr_r2(h, w), 1) * 10000 + 0.5) / 10000 AS r2 FROM rg0_)"""
+METRICS = """, en_ AS (SELECT epoch_us(ts) // 86400000000 AS day, user_id, event_type, value FROM events), mt_ AS (FROM (SELECT day, count(DISTINCT user_id)::DOUBLE AS files, count(*)::DOUBLE AS lines, floor(avg(value) / 10 * 100 + 0.5) / 100 AS average, floor(max(value) / 10 * 100 + 0.5) / 100 AS most,
+(count(*) FILTER (event_type = 'error'))::DOUBLE AS hotspots, greatest(0, least(100, floor(avg(value))))::DOUBLE AS health, (count(*) FILTER (value <= 50))::DOUBLE AS low, (count(*) FILTER (value > 50 AND value <= 100))::DOUBLE AS medium, (count(*) FILTER (value > 100 AND value <= 200))::DOUBLE AS high,
+(count(*) FILTER (value > 200))::DOUBLE AS very_high FROM en_ GROUP BY day) UNPIVOT INCLUDE NULLS (v FOR metric IN (files, lines, average, most, hotspots, health, low, medium, high, very_high)))"""
 PCT = "CASE WHEN {0} = 0 THEN CASE WHEN {1} = 0 THEN 0 ELSE 100 END ELSE floor(100.0::DOUBLE * ({1} - {0}) / {0} + 0.5) END::BIGINT"
 SQL = {
     "w2_hotspots": sql(HOT + " SELECT file_path, complexity, churn, churn_rate, score, priority, debt_hours FROM top_"),
@@ -215,6 +252,11 @@ SQL = {
     "w5_velocity": sql(SNAP + """, s AS (SELECT arg_min(average, day) AS old, arg_max(average, day) AS new, greatest(1, max(day) - min(day)) AS days, count(*) AS k FROM sn_),
         v AS (SELECT file_path, floor((complexity - CASE WHEN new = 0 THEN complexity ELSE floor(complexity * (old / new) * 100 + 0.5) / 100 END) / (days / 7.0::DOUBLE) * 100 + 0.5) / 100 AS per_week FROM files_, s WHERE complexity IS NOT NULL AND k >= 2)
         SELECT *, CASE WHEN per_week <= -5 THEN 'improving' WHEN per_week <= 2 THEN 'stable' WHEN per_week <= 10 THEN 'degrading' ELSE 'critical' END AS trend FROM v"""),
+    "w5_summary": sql(SNAP + """, s AS (SELECT arg_min(average, day) AS old, arg_max(average, day) AS new, greatest(1, max(day) - min(day)) AS days, count(*) AS k FROM sn_),
+        f AS (SELECT complexity AS c, days, k, floor((complexity - CASE WHEN new = 0 OR k < 2 THEN complexity ELSE floor(complexity * (old / new) * 100 + 0.5) / 100 END) * 100 + 0.5)::BIGINT AS moved FROM files_, s WHERE complexity IS NOT NULL),
+        a AS (SELECT count(*) FILTER (k >= 2) AS files, coalesce(sum(c), 0)::BIGINT AS total, coalesce(floor(sum(moved) / 100.0::DOUBLE / (max(days) / 7.0::DOUBLE) * 100 + 0.5) / 100, 0) AS per_week FROM f)
+        SELECT *, CASE WHEN per_week <= -5 THEN 'improving' WHEN per_week <= 2 THEN 'stable' WHEN per_week <= 10 THEN 'degrading' ELSE 'critical' END AS trend, floor(total + per_week * (30 / 7.0::DOUBLE) + 0.5)::BIGINT AS projected FROM a"""),
+    "w7_metrics": sql(METRICS + """, b AS (SELECT metric, day, v, lag(v) OVER (PARTITION BY metric ORDER BY day) AS p FROM mt_) SELECT day, metric, p AS before, v AS after, floor((v - p) * 100 + 0.5) / 100 AS change FROM b WHERE p IS NOT NULL"""),
     "w6_period_trends": sql(SNAP + f""", g AS (SELECT period, arg_min(health, day) AS f, arg_max(health, day) AS l, count(*) AS k FROM sn_, (VALUES ('day', 1), ('week', 7), ('month', 30), ('all', 1000000)) p(period, d) WHERE day > (SELECT max(day) FROM sn_) - d GROUP BY 1)
         SELECT period, CASE WHEN k < 2 THEN 'stable' WHEN l - f > 2 THEN 'improving' WHEN l - f < -2 THEN 'declining' ELSE 'stable' END AS direction, CASE WHEN k < 2 THEN 0 ELSE {PCT.format('f', 'l')} END::BIGINT AS percent FROM g"""),
     "w12_health_history": sql(SNAP + """, t AS (SELECT * FROM sn_ ORDER BY day DESC LIMIT 10), g AS (SELECT string_agg(health::VARCHAR, ' ' ORDER BY day) AS history, max(day) - min(day) AS d, count(*) AS k FROM t)

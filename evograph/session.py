@@ -59,14 +59,16 @@ def spread(df: DataFrame, *keys: str | Column, n: int | None = None) -> DataFram
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a local one only where none is set."""
+    """The shared folder that the session names in spark.checkpoint.dir; a local one only in a session of one process that names none."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
-        path = tempfile.mkdtemp(prefix="evograph-")
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="evograph-")  # driver and executors are one process
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(path)
     return path
@@ -83,15 +85,6 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: A side is broadcast only if its size was counted to be at most this many rows.
-BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Hint a broadcast for a side whose counted rows keep to the bound; else leave the choice to the planner."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def number_rows(df: DataFrame, name: str, *order: str) -> DataFrame:
     """Number rows from 0 in an order, without a window over the whole table in one task.
 

@@ -79,6 +79,30 @@ def load_snapshots(spark: SparkSession, path: str, first: int | None = None, las
     return df
 
 
+def latest_snapshots(snapshots: DataFrame, per: str = "repo") -> DataFrame:
+    """The newest snapshot of each group; of several of a day any one of its greatest row."""
+    rest = [c for c in snapshots.columns if c != per]
+    return snapshots.groupBy(per).agg(F.max(F.struct("day", *[c for c in rest if c != "day"])).alias("_s")).select(per, *[F.col(f"_s.{c}").alias(c) for c in rest]).select(*snapshots.columns)
+
+
+def snapshot_by_id(snapshots: DataFrame, snapshot_id: str) -> DataFrame:
+    """The snapshots of a column id that equals the given one."""
+    return snapshots.where(F.col("id") == snapshot_id)
+
+
+def snapshot_count(snapshots: DataFrame) -> int:
+    """S16."""
+    return snapshots.count()
+
+
+def clear_snapshots(spark: SparkSession, path: str) -> int:
+    """The number of snapshots that were there; the folder is removed."""
+    fs, p = _fs(spark, path)
+    k = spark.read.parquet(path).count() if fs.exists(p) else 0
+    fs.delete(p, True)
+    return k
+
+
 def prune_snapshots(snapshots: DataFrame, most: int = 100) -> DataFrame:
     """The newest snapshots per repository, up to a number."""
     w = Window.partitionBy("repo").orderBy(F.desc("day"))

@@ -26,7 +26,7 @@ def file_events(df: DataFrame) -> DataFrame:
     return df.select(F.col("user_id").alias("key"), "ts", "event_id", "event_type", "value")
 
 
-def debounce(events: DataFrame, gap: str = "6 hours", delay: str = "1 day") -> DataFrame:
+def debounce(events: DataFrame, gap: str = "500 milliseconds", delay: str = "1 day") -> DataFrame:
     """One row per key and burst: of events closer than the gap the last one counts.
 
     A stream closes a burst when the watermark passes its end; events later than the delay are dropped there.
@@ -36,24 +36,35 @@ def debounce(events: DataFrame, gap: str = "6 hours", delay: str = "1 day") -> D
     return g.select("key", F.unix_micros("w.start").alias("start_us"), F.col("last.event_id").alias("event_id"), F.col("last.event_type").alias("event_type"), "events")
 
 
-def deltas(events: DataFrame) -> DataFrame:
-    """Z3: change of each event's value against the key's last one; the first of a key is added, all others modified.
-    Events without key, time, id or value are left out.
+def deltas(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Z3: change of each event's value against the key's last one: added for a key that is new, modified for one that is known.
 
-    The state of a key is its last value; it is kept as long as the stream runs.
+    An event without a value deletes: its change takes away the last value, 0 if there is none, and the next event of the
+    key is added again. Events without key, time or id are left out. The state of a key is its last value; it is kept as
+    long as the stream runs, or until nothing came for idle_ms of processing time.
     """
 
     def f(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = []
         for x in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples():
-            rows.append((int(key[0]), int(x.event_id), "modified" if last is not None else "added", float(x.value - last) if last is not None else float(x.value)))
-            last = x.value
-        state.update((float(last),))
+            gone = x.value is None or x.value != x.value
+            change = -(last or 0.0) if gone else float(x.value) - (last or 0.0)
+            rows.append((int(key[0]), int(x.event_id), "deleted" if gone else "modified" if last is not None else "added", float(change) + 0.0))
+            last = None if gone else float(x.value)
+        if last is not None:
+            state.update((last,))
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(rows, columns=["key", "event_id", "kind", "delta"])
 
-    return events.where("key IS NOT NULL AND value IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL").groupBy("key").applyInPandasWithState(
-        f, "key bigint, event_id bigint, kind string, delta double", "last double", "append", GroupStateTimeout.NoTimeout
+    return events.where("key IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL").groupBy("key").applyInPandasWithState(
+        f, "key bigint, event_id bigint, kind string, delta double", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     )
 
 

@@ -23,10 +23,10 @@ def test_deltas_go_on_over_batches(spark, tmp_path):
 def test_debounce_closes_bursts_behind_the_watermark(spark, tmp_path):
     late = [(99, T0 + timedelta(days=30), 9, "end", 0.0, None)]
     events(spark, tmp_path, ROWS)
-    stream = watch.debounce(events(spark, tmp_path, late))
+    stream = watch.debounce(events(spark, tmp_path, late), "6 hours")
     watch.run_to_end(stream, str(tmp_path / "out"), str(tmp_path / "check"))
     got = {(r.key, r.event_id, r.events) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    static = watch.debounce(watch.file_events(spark.createDataFrame(ROWS, watch.SCHEMA))).collect()
+    static = watch.debounce(watch.file_events(spark.createDataFrame(ROWS, watch.SCHEMA)), "6 hours").collect()
     assert got == {(r.key, r.event_id, r.events) for r in static} == {(1, 1, 2), (1, 2, 1), (2, 3, 1), (2, 4, 1), (2, 5, 1), (2, 6, 1)}
 
 
@@ -37,3 +37,17 @@ def test_totals_and_streaks(spark, tmp_path):
     watch.run_to_end(watch.activity_streaks(stream), str(tmp_path / "s"), str(tmp_path / "sc"), "update")
     got = {r.key: (r.current, r.longest, r.days) for r in spark.read.parquet(str(tmp_path / "s/*")).collect()}
     assert got == {1: (2, 2, 2), 2: (1, 3, 4)}
+
+
+def test_bursts_are_half_a_second_apart(spark):
+    ms = lambda i, x: (i, T0 + timedelta(milliseconds=x), 1, "view", 1.0, None)
+    df = watch.file_events(spark.createDataFrame([ms(0, 0), ms(1, 499), ms(2, 998), ms(3, 1499), ms(4, 1900)], watch.SCHEMA))
+    assert sorted((r.event_id, r.events) for r in watch.debounce(df).collect()) == [(2, 3), (4, 2)]
+
+
+def test_deleted_files_begin_anew(spark, tmp_path):
+    h = lambda i, n, u, v: (i, T0 + timedelta(hours=n), u, "x", v, None)
+    for rows in ([h(0, 0, 1, 3.0), h(1, 1, 1, None), h(2, 2, 2, None)], [h(3, 3, 1, 5.0), h(4, 4, 1, 4.0), h(5, 5, None, 1.0)]):
+        watch.run_to_end(watch.deltas(events(spark, tmp_path, rows)), str(tmp_path / "out"), str(tmp_path / "check"))
+    got = {(r.event_id, r.kind, r.delta) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(0, "added", 3.0), (1, "deleted", -3.0), (2, "deleted", 0.0), (3, "added", 5.0), (4, "modified", -1.0)}
