@@ -170,12 +170,17 @@ def largest_files(r: Relations) -> DataFrame:
 def find_file(r: Relations, wanted: DataFrame) -> DataFrame:
     """Nodes of wanted paths: the exact path, else the first file in order of insertion whose path ends in it.
 
-    wanted: one column path. Suffixes meet by their last component, so nothing is compared with every file.
+    wanted: one column path; an empty one finds nothing. A suffix with a folder meets by its last component, one that may begin inside a file's
+    name by each end of that name, so nothing is compared with every file.
     """
     name = lambda c: F.element_at(F.split(c, "/"), -1)
-    w = wanted.select("path").distinct().withColumn("name", name("path"))
+    w = wanted.select("path").where("path <> ''").distinct().withColumn("name", name("path"))
     f = r.files.select("id", "file_path", "ord", name("file_path").alias("name"))
-    hit = w.join(f, "name").where(F.col("file_path").endswith(F.col("path")))
+    deep = F.col("path").contains("/")
+    ends = F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substr("name", i))
+    by_name = w.where(deep).join(f, "name").where(F.col("file_path").endswith(F.col("path")))
+    by_end = w.where(~deep).drop("name").join(f.where("name <> ''").withColumn("path", F.explode(ends)), "path")
+    hit = by_name.select("path", "id", "file_path", "ord").unionByName(by_end.select("path", "id", "file_path", "ord"))
     best = Window.partitionBy("path").orderBy(F.when(F.col("file_path") == F.col("path"), 0).otherwise(1), F.asc_nulls_last("ord"), "id")
     return hit.withColumn("rn", F.row_number().over(best)).where("rn = 1").select("path", "id")
 
@@ -331,7 +336,7 @@ SQL = {
         SELECT hash, k1::BIGINT AS k1, k2::BIGINT AS k2, k3::BIGINT AS k3, k4::BIGINT AS k4, k5::BIGINT AS k5, k6::BIGINT AS k6, overall, CASE WHEN overall <= 25 THEN 'low' WHEN overall <= 50 THEN 'medium' WHEN overall <= 75 THEN 'high' ELSE 'critical' END AS level,
         ((k1 >= 60)::INT + (k2 >= 60)::INT + (k3 >= 50)::INT + (k4 >= 50)::INT + (k5 >= 40)::INT + (k6 >= 50)::INT)::BIGINT AS recommendations FROM o"""),
     "k2_largest_files": sql("SELECT hash, file_path, (added + removed)::BIGINT AS lines FROM commit_files_ QUALIFY row_number() OVER (PARTITION BY hash ORDER BY added + removed DESC, file_path) = 1"),
-    "j10_find_file": sql(", w AS (SELECT DISTINCT regexp_replace(file_path, '^/?workspace/', '') AS path FROM build_errors WHERE file_path IS NOT NULL) SELECT path, id FROM w JOIN files_ ON ends_with(file_path, path) AND split_part(file_path, '/', -1) = split_part(path, '/', -1) QUALIFY row_number() OVER (PARTITION BY path ORDER BY file_path <> path, ord NULLS LAST, id) = 1"),
+    "j10_find_file": sql(", w AS (SELECT DISTINCT regexp_replace(file_path, '^/?workspace/', '') AS path FROM build_errors WHERE file_path IS NOT NULL) SELECT path, id FROM w JOIN files_ ON path <> '' AND ends_with(file_path, path) QUALIFY row_number() OVER (PARTITION BY path ORDER BY file_path <> path, ord NULLS LAST, id) = 1"),
     "pf11_file_risk": sql(PRED + " SELECT * FROM pr_"),
     "pf11_prediction": sql(PRED + """ SELECT hash, top, floor(mean * 100 + 0.5) / 100 AS mean, minutes, level, CASE level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END::BIGINT AS reviewers FROM (SELECT *, CASE WHEN top >= 70 OR mean >= 50 THEN 'high' WHEN top >= 50 OR mean >= 35 THEN 'medium' ELSE 'low' END AS level
         FROM (SELECT hash, max(risk) AS top, avg(risk) AS mean, sum(minutes)::BIGINT AS minutes FROM pr_ GROUP BY 1))"""),

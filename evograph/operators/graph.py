@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.components import connected_components
+from ..plans.components import connected_components, strongly_connected
 from ..relations import AS_OF_US, AREA_SQL, DAY_US, DIR_SQL, Relations, area_of, clamp, js_round, n, path_dir, r2, sql
 from ..session import cut, number_rows
 
@@ -286,6 +286,13 @@ def back_edges(r: Relations) -> DataFrame:
     return rings.withColumn("severity", severity(F.col("length")))
 
 
+def import_knots(r: Relations) -> DataFrame:
+    """T5/T6 whole: (id, component, size): the files that reach one another by imports, by strongly connected component, which is named
+    by its smallest file. Every cycle of two files or more lies in one of them, whatever its length; the cycles themselves are the detail of ``bounded_cycles`` and ``back_edges``."""
+    c = strongly_connected(r.file_imports.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return c.join(c.groupBy("component").agg(n().alias("size")), "component").select(F.col("node").alias("id"), "component", "size")
+
+
 # ---- judgements over files ----
 
 
@@ -451,7 +458,7 @@ QUERIES = {
     "g7_languages": _q(language_histogram), "g8_graph_stats": _q(graph_stats), "g10_scan_errors": _q(scan_errors), "j1_resolved_imports": _q(resolved_imports), "t7_degrees": _q(degrees),
     "g9_incremental": lambda s, d: update_incremental(Relations(s, d).nodes.select("id", "ord", "modification_count"), Relations(s, d).raw("nodes").select("id", "ord", "modification_count")).select("id", F.coalesce("modification_count", F.lit(-1)).cast("bigint").alias("modification_count")),
     "t2_direct_dependents": _q(direct_dependents), "t3_indirect_dependents": _q(indirect_dependents), "t8_coupling_scores": _q(coupling_scores), "pf5_relationships": _q(relationships), "pf27_mutual_imports": _q(mutual_imports), "pf27_import_flags": _q(import_flags),
-    "j3_dead_by_name": _q(dead_by_name), "j4_dead_by_target": _q(dead_by_target), "a21_dead_by_symbol": _q(dead_by_symbol), "t1_call_chain": _q(chain_from_hub), "t1_call_chain_deep": _q(chain_from_hub_deep), "t5_bounded_cycles": _q(bounded_cycles), "t5_cycles_to_six": _q(cycles_to_six), "t6_back_edges": _q(back_edges),
+    "j3_dead_by_name": _q(dead_by_name), "j4_dead_by_target": _q(dead_by_target), "a21_dead_by_symbol": _q(dead_by_symbol), "t1_call_chain": _q(chain_from_hub), "t1_call_chain_deep": _q(chain_from_hub_deep), "t5_bounded_cycles": _q(bounded_cycles), "t5_cycles_to_six": _q(cycles_to_six), "t6_import_knots": _q(import_knots), "t6_back_edges": _q(back_edges),
     "pf9_zones": _q(zones), "pf10_standup_risk": _q(standup_risk), "pf14_edit_warnings": _q(edit_warnings), "a25_drift": _q(drift), "a25_drift_score": _q(drift_score), "a22_architecture": _q(architecture), "pf25_diagram": _q(diagram),
     "s22_diagram_text": _q(diagram_text), "pf24_tour": _q(tour), "pf26_confession": _q(confession), "a21_summary": _q(codebase_summary),
 }
@@ -496,6 +503,8 @@ SQL = {
     "j1_resolved_imports": sql("SELECT s.file_path AS source_path, t.file_path AS target_path, count(*) AS edges FROM imports_ JOIN nodes_ s ON s.id = src JOIN nodes_ t ON t.id = dst GROUP BY 1, 2"),
     "t7_degrees": sql(DEG + " SELECT id, out_degree, in_degree FROM deg_"),
     "t2_direct_dependents": sql(DIRECT + " SELECT * FROM direct_"),
+    "t6_import_knots": """WITH RECURSIVE """ + sql("").split("WITH ", 1)[1].rstrip() + """, ed_ AS (SELECT src, dst FROM file_imports_ WHERE src <> dst), re_ AS (SELECT src AS a, dst AS b FROM ed_ UNION SELECT a, dst FROM re_ JOIN ed_ ON src = b), mu_ AS (SELECT x.a AS id, x.b AS other FROM re_ x JOIN re_ y ON y.a = x.b AND y.b = x.a),
+        kn_ AS (SELECT id, least(id, min(other)) AS component FROM mu_ WHERE id <> other GROUP BY 1) SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM kn_""",
     "t3_indirect_dependents": sql(""", e AS (SELECT src, dst FROM file_imports_ WHERE src <> dst), l2 AS (SELECT DISTINCT a.dst AS id, b.src AS dep FROM e a JOIN e b ON b.dst = a.src),
         l3 AS (SELECT DISTINCT id, b.src AS dep FROM (SELECT * FROM l2 WHERE id <> dep AND (dep, id) NOT IN (SELECT (src, dst) FROM e)) x JOIN e b ON b.dst = x.dep)
         SELECT id, count(*) AS indirect FROM (SELECT * FROM l2 UNION SELECT * FROM l3) WHERE id <> dep AND (dep, id) NOT IN (SELECT (src, dst) FROM e) GROUP BY 1"""),

@@ -7,7 +7,7 @@ from evograph.operators import complexity as C
 from evograph.operators import coupling as K
 from evograph.operators import search as X
 from evograph.operators import trends as W
-from evograph.plans.components import connected_components
+from evograph.plans.components import connected_components, strongly_connected
 from evograph.relations import clamp, js_round, step
 from evograph.session import number_rows
 from evograph.sources import gitlog, store, trees
@@ -174,3 +174,70 @@ def test_questions_and_purposes(spark):
     got = {r.q: (r.t, r.s) for r in df.collect()}
     assert {q: t for q, (t, _) in got.items()} == {q: t for q, (t, _) in asked.items()}
     assert got["Where are tokens stored in it"][1] == "tokens" and got["How does login work?"][1] == "login" and got["Why does X exist"][1] == "x" and got["show me cycles"][1] == "cycles"
+
+
+def test_strongly_connected_components_are_brute_force(spark):
+    import random
+
+    rng = random.Random(11)
+    # rings of several lengths, a knot, chains between and behind them, self loops and repeated edges
+    edges = [(i, (i + 1) % 7) for i in range(7)] + [(10, 11), (11, 10), (6, 10), (11, 20), (20, 21), (21, 22), (30, 30), (40, 41), (40, 41)]
+    edges += [(50 + rng.randrange(8), 50 + rng.randrange(8)) for _ in range(14)] + [(22, 50), (57, 60), (60, 61), (61, 62), (62, 60)]
+    to = {}
+    for a, b in edges:
+        to.setdefault(a, set()).add(b)
+
+    def reach(a):
+        seen, todo = set(), [a]
+        while todo:
+            for b in to.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        return seen
+
+    r = {a: reach(a) for a in {x for e in edges for x in e}}
+    want = {a: min(s) for a in r for s in [{a} | {b for b in r[a] if a in r[b]}] if len(s) > 1}
+    got = {x.node: x.component for x in strongly_connected(spark.createDataFrame(edges + [(None, 1), (1, None)], "a long, b long")).collect()}
+    assert got == want and len(set(want.values())) >= 3
+    assert strongly_connected(spark.createDataFrame([(1, 2), (2, 3), (3, 3)], "a long, b long")).count() == 0
+    assert strongly_connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_breaking_changes(spark):
+    old = "export function f(a: string) {}\nexport const c = 1;\nexport interface I {\n  id: string;\n  size?: number;\n}\nfunction g(a: string) {}\nfunction h(a: string) {}\n"
+    new = "export function f(a: number) {}\nexport interface I {\n  size: number;\n}\nfunction g(a: string, b: string) {}\nfunction h(a: string, c: string) { k({ c?: 1 }) }\n"
+    df = lambda rows: spark.createDataFrame(rows, "file_id long, text string")
+    x = X.breaking_changes(df([(1, old), (2, "export const z = 1;\n"), (3, "same")]), df([(1, new), (3, "same"), (4, "  new: 1")]))
+    assert {tuple(r) for r in x.collect()} == {(1, "c", "removed", "high"), (1, "f", "signature", "high"), (2, "*", "deleted", "high"), (1, "id", "property", "medium"), (1, "b", "parameter", "medium")}
+    assert X.breaking_level(x).first().level == "breaking" and X.breaking_level(x.where("severity = 'medium'")).first().level == "caution" and X.breaking_level(x.limit(0)).first().level == "safe"
+
+
+def test_snapshots_by_id_newest_count_and_clear(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, "r", 5), ("b", 3, "r", 7), ("c", 2, "s", 9)], "id string, day int, repo string, health int")
+    path = str(tmp_path / "snapshots")
+    store.save_snapshot(rows, path)
+    s = store.load_snapshots(spark, path).select("id", "day", "repo", "health")
+    assert {(r.repo, r.id) for r in store.latest_snapshots(s).collect()} == {("r", "b"), ("s", "c")} and store.snapshot_by_id(s, "a").first().health == 5
+    assert store.snapshot_count(s) == 3 and store.clear_snapshots(spark, path) == 3 and store.clear_snapshots(spark, path) == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from evograph.session import checkpoint_dir
+
+    none = SimpleNamespace(get=lambda k, d=None: None)
+    gone = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False)))
+    for master in ("yarn", "spark://h:1", "local-cluster[2,1,512]"):
+        with pytest.raises(RuntimeError):
+            checkpoint_dir(SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: none, master=master, _jsc=gone), conf=none))
+
+
+def test_files_by_the_end_of_their_path(spark):
+    from types import SimpleNamespace
+
+    files = spark.createDataFrame([("r/src/scanHotspot.ts", 3), ("r/lib/Hotspot.ts", 5), ("q/src/a.ts", 1), ("r/src/a.ts", 2)], "id string, ord long").selectExpr("id", "id AS file_path", "ord")
+    wanted = spark.createDataFrame([(x,) for x in ("Hotspot.ts", "src/a.ts", "r/src/a.ts", "rc/a.ts", "t.ts", "missing.ts", "", None)], "path string")
+    got = {r.path: r.id for r in K.find_file(SimpleNamespace(files=files), wanted).collect()}
+    assert got == {"Hotspot.ts": "r/src/scanHotspot.ts", "src/a.ts": "q/src/a.ts", "r/src/a.ts": "r/src/a.ts", "rc/a.ts": "q/src/a.ts", "t.ts": "r/src/scanHotspot.ts"}
