@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
-from ..session import cut, spread
+from ..session import cut, spread, width
 
 # Common short forms of first names.
 NICKNAMES = {
@@ -325,8 +325,9 @@ def similar_keys(keys: DataFrame, least: int = 9, shard: int = SHARD) -> DataFra
         if not some:
             break
         rows = cut(rows.join(hot, "shard", "left_semi").mapInPandas(_divided, _SHARD))
-    # few bytes, but much work: a set number of tasks, which isn't coalesced by size
-    both = spread(cold.select("shard", "typed", "k", "asks"), "shard")
+    # few bytes, but much work: a set number of tasks, which isn't coalesced by size. One more than the joins before have, for
+    # else the planner takes their partitions, which it does coalesce, and leaves this exchange out.
+    both = spread(cold.select("shard", "typed", "k", "asks"), "shard", n=width(keys.sparkSession) + 1)
     pairs = both.groupBy("shard").applyInPandas(lambda frame: _join_shard(frame, least), "a string, b string")
     return pairs.distinct()
 
