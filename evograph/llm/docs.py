@@ -349,7 +349,8 @@ def documented_functions(nodes: DataFrame, files: DataFrame) -> DataFrame:
         )
     )
     asked = kept.where("documented_by = 'comment'").select("file_path").distinct()
-    some = files.select(F.col("file_path").alias("repo"), "file_path", "content").where("content <> ''").join(asked, "file_path", "left_semi").dropDuplicates(["file_path"])
+    # kept, for the operator reads its files twice
+    some = cut(files.select(F.col("file_path").alias("repo"), "file_path", "content").where("content <> ''").join(asked, "file_path", "left_semi").dropDuplicates(["file_path"]))
     broken = syntax_errors(some.withColumn("file_id", F.xxhash64("file_path"))).where("evidence <> 'depth'").select("file_path").distinct()
     by_comment = kept.where("documented_by = 'comment'").join(broken, "file_path", "left_anti").select(*kept.columns)
     return kept.where("documented_by = 'node'").union(by_comment)
